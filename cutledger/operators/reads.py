@@ -15,19 +15,26 @@ SHOT = [*K, "tcid"]
 
 
 def _by_position(frame_reads: DataFrame, field: str, value: Column) -> DataFrame:
-    """One row per shot with a column per position, in one shuffle and map-side combined."""
-    reads = frame_reads.filter(F.col("field") == field)
-    at = [F.max(F.when(F.col("pos") == p, value)).alias(p) for p in POSITIONS]
+    """One row per shot with a column per position, in one shuffle and map-side combined.
+
+    Anything costly in ``value`` runs once per read, before the aggregation.
+    """
+    reads = frame_reads.filter(F.col("field") == field).select(*SHOT, "pos", value.alias("_v"))
+    at = [F.max(F.when(F.col("pos") == p, F.col("_v"))).alias(p) for p in POSITIONS]
     return reads.groupBy(*SHOT).agg(*at)
 
 
 def slate_votes(frame_reads: DataFrame) -> DataFrame:
     """Modal (scene, slate) of the three reads; ties go to middle, start, end."""
-    wide = _by_position(frame_reads, "slate", F.coalesce(F.col("raw"), F.lit("")))
+    raw = F.coalesce(F.col("raw"), F.lit(""))
+    wide = _by_position(frame_reads, "slate", F.struct(raw.alias("raw"), g.slate_line(raw).alias("p")))
+    nothing = F.struct(
+        F.lit("").alias("scene"), F.lit(None).cast("string").alias("slate"), F.lit("").alias("take"), F.lit("").alias("extra")
+    )
     parsed = wide.select(
         *SHOT,
-        *[F.col(p).alias(f"raw_{p}") for p in POSITIONS],
-        *[g.slate_line(p).alias(f"p_{p}") for p in POSITIONS],
+        *[F.coalesce(f"{p}.raw", F.lit("")).alias(f"raw_{p}") for p in POSITIONS],
+        *[F.coalesce(f"{p}.p", nothing).alias(f"p_{p}") for p in POSITIONS],
     )
     order = F.array("p_mid", "p_start", "p_end")
     cands = F.filter(order, lambda r: r["slate"].isNotNull())

@@ -307,10 +307,11 @@ CTES: dict[str, tuple[str, str]] = {
         CAST(l_partkey % 97 + 1 AS VARCHAR) AS s, slate_n, CASE take_n WHEN 1 THEN 'I' WHEN 2 THEN 'II' ELSE 'III' END AS r, take_n
         FROM edit CROSS JOIN (SELECT unnest([0, 1, 2]) AS pi)""",
     ),
-    # What each kind of noise must read as, stated from the way it is made.
+    # What each kind of noise must read as, stated from the way it is made. A lone 1 with a letter
+    # behind it reads as a take and so is no slate.
     "parsed": (
         "reads",
-        """SELECT *, CASE WHEN k IN (7, 8, 10) THEN NULL WHEN k = 3 AND slate_n BETWEEN 1 AND 9 THEN CAST(slate_n * 10 AS VARCHAR) ELSE CAST(slate_n AS VARCHAR) END AS slate,
+        """SELECT *, CASE WHEN k IN (7, 8, 10) OR (k = 3 AND slate_n = 1) THEN NULL WHEN k = 3 AND slate_n BETWEEN 1 AND 9 THEN CAST(slate_n * 10 AS VARCHAR) ELSE CAST(slate_n AS VARCHAR) END AS slate,
         CASE WHEN k IN (7, 8) THEN '' WHEN k = 10 THEN 'stock ' || s || '/' || slate_n || '/' || r WHEN k = 5 THEN s || 'pt2' WHEN k = 6 THEN s || '+12pt1/+3' ELSE s END AS scene,
         CASE WHEN k IN (7, 8, 10) THEN '' ELSE r END AS take, CASE pi WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END AS rank FROM reads""",
     ),

@@ -50,15 +50,15 @@ def h10(spark, sf):
     "h11_slate_tokens",
     sql(
         "edit",
-        f"""SELECT {KEY}, seq, CAST(slate_n AS VARCHAR) AS plain, CASE WHEN slate_n >= 10 THEN CAST(slate_n AS VARCHAR) WHEN slate_n > 0 THEN CAST(slate_n * 10 AS VARCHAR) ELSE '0' END AS letter,
-        CAST(500 + slate_n AS VARCHAR) AS lookalike FROM edit""",
+        f"""SELECT {KEY}, seq, CAST(slate_n AS VARCHAR) AS plain, CASE WHEN slate_n >= 10 THEN CAST(slate_n AS VARCHAR) WHEN slate_n = 1 THEN NULL WHEN slate_n > 0 THEN CAST(slate_n * 10 AS VARCHAR) ELSE '0' END AS letter,
+        CASE slate_n % 4 WHEN 0 THEN '550' WHEN 1 THEN '558' WHEN 2 THEN '5' ELSE '10' END AS lookalike FROM edit""",
     ),
 )
 def h11(spark, sf):
     """Plain digits with zeros before, a letter stuck on, and digits misread as letters."""
     e = d.edit(spark, sf)
     l = F.col("slate_n").cast("string")
-    misread = F.translate((500 + F.col("slate_n")).cast("string"), "058", "os&")
+    misread = F.element_at(F.array(*[F.lit(x) for x in ("sso", "55&", "oS", "1O0")]), (F.col("slate_n") % 4 + 1).cast("int"))
     return e.select(
         *K,
         "seq",
@@ -104,19 +104,19 @@ def d03(spark, sf):
 @query("e01_official_codes", sql("official", f"SELECT {KEY}, tcid, slate, official_code FROM official"))
 def e01(spark, sf):
     votes = R.slate_votes(d.slate_reads(spark, sf)).withColumn("seq", F.col("tcid").cast("bigint"))
-    return R.official_codes(votes).select(*K, "tcid", "slate", "official_code")
+    return R.official_codes(d.stored(votes)).select(*K, "tcid", "slate", "official_code")
 
 
 _NORM = "trim(regexp_replace(replace(upper({0}), 'ß', 'SS'), '[^A-Z0-9 ]', '', 'g'))"
 d.CTES["notes"] = (
     "docs",
-    f"""SELECT *, {_NORM.format('text')} <> '' AS full FROM docs""",
+    f"""SELECT *, {_NORM.format('text')} <> '' AS noted FROM docs""",
 )
 
 
 @query(
     "d04_note_consensus",
-    sql("notes", f"SELECT {KEY}, tcid, CASE WHEN NOT full OR k = 3 THEN '' WHEN k = 4 THEN text || '!!' ELSE text END AS vfx_note FROM notes"),
+    sql("notes", f"SELECT {KEY}, tcid, CASE WHEN NOT noted OR k = 3 THEN '' WHEN k = 4 THEN text || '!!' ELSE text END AS vfx_note FROM notes"),
 )
 def d04(spark, sf):
     return R.note_votes(d.note_reads(spark, sf)).select(*K, "tcid", "vfx_note")
@@ -126,8 +126,8 @@ def d04(spark, sf):
     "d05_presence_tier",
     sql(
         "notes",
-        f"""SELECT {KEY}, tcid, CASE WHEN NOT full OR k = 3 THEN 'NONE' WHEN k = 1 THEN 'MIDEND' WHEN k = 2 THEN 'PARTIAL' ELSE 'ALL3' END AS tier,
-        full AND k NOT IN (2, 3) AS is_vfx, CAST(CASE WHEN NOT full OR k = 3 THEN 0 WHEN k IN (1, 2) THEN 2 ELSE 3 END AS INTEGER) AS n_present FROM notes""",
+        f"""SELECT {KEY}, tcid, CASE WHEN NOT noted OR k = 3 THEN 'NONE' WHEN k = 1 THEN 'MIDEND' WHEN k = 2 THEN 'PARTIAL' ELSE 'ALL3' END AS tier,
+        noted AND k NOT IN (2, 3) AS is_vfx, CAST(CASE WHEN NOT noted OR k = 3 THEN 0 WHEN k IN (1, 2) THEN 2 ELSE 3 END AS INTEGER) AS n_present FROM notes""",
     ),
 )
 def d05(spark, sf):
@@ -251,8 +251,8 @@ def g03(spark, sf):
     "j03b_split_suppression",
     sql(
         "findings",
-        """SELECT * FROM findings f WHERE kind <> 'SPLIT' OR (CAST(prev_tcid AS BIGINT) % 4 <> 0 AND NOT EXISTS (
-        SELECT 1 FROM edit e WHERE e.show_id = f.show_id AND e.seq = CAST(f.prev_tcid AS BIGINT) AND e.take_n = 2))""",
+        """SELECT * FROM findings f WHERE kind <> 'SPLIT' OR (TRY_CAST(prev_tcid AS BIGINT) % 4 <> 0 AND NOT EXISTS (
+        SELECT 1 FROM edit e WHERE e.show_id = f.show_id AND e.seq = TRY_CAST(f.prev_tcid AS BIGINT) AND e.take_n = 2))""",
     ),
 )
 def j03b(spark, sf):

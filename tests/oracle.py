@@ -53,9 +53,9 @@ def compare(df, con, text):
     a, b = sorted_rows(df.columns, got), sorted_rows(want_cols, want)
     if len(a) != len(b):
         return f"rows {len(a)} vs {len(b)}"
-    for x, y in zip(a, b):
-        if x != y:
-            return f"cols {sorted(df.columns)}: spark {str(x)[:300]} vs sql {str(y)[:300]}"
+    if a != b:
+        only_a, only_b = set(a) - set(b), set(b) - set(a)
+        return f"cols {sorted(df.columns)}: {len(only_a)} only spark {str(sorted(only_a, key=repr)[:3])[:500]}; {len(only_b)} only sql {str(sorted(only_b, key=repr)[:3])[:500]}"
     return None
 
 
