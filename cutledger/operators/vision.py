@@ -125,17 +125,23 @@ def fingerprints(images: DataFrame, crop_top: float = 0.0, top_keep: float = 0.7
     )
 
 
+def sampled(frames: DataFrame, sample: int = 80) -> DataFrame:
+    """Every k-th frame of a cut, ``sample`` of them at most. Frames carry frame_pos from 0."""
+    n = frames.groupBy(*K).agg(F.count("*").alias("_n"))
+    rows = ordered.salted_lookup(frames, n, K, ["frame_pos"])
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / sample))
+    rows = rows.withColumn("_step", step.cast("bigint"))
+    kth = (F.col("frame_pos") % F.col("_step") == 0) & (F.floor(F.col("frame_pos") / F.col("_step")) < sample)
+    return rows.filter((F.col("_n") <= sample) | kth).drop("_n", "_step")
+
+
 def letterbox(row_luma: DataFrame, thr: float = 12.0, sample: int = 80, inset: int = 1) -> DataFrame:
     """Active picture rows of a cut from sampled row means.
 
     ``row_luma``: show_id, cut_id, frame_pos (dense from 0), row_luma array<double>. Every k-th
     frame is sampled, at most ``sample`` of them, as the operator defines it.
     """
-    n = row_luma.groupBy(*K).agg(F.count("*").alias("_n"))
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / sample)).cast("bigint")
-    tagged = ordered.salted_lookup(row_luma, n, K, ["frame_pos"]).withColumn("_step", step)
-    few = F.col("_n") <= sample
-    picked = tagged.filter(few | ((F.col("frame_pos") % F.col("_step") == 0) & (F.floor(F.col("frame_pos") / F.col("_step")) < sample)))
+    picked = sampled(row_luma, sample)
     per_row = picked.select(*K, F.posexplode("row_luma").alias("y", "luma")).groupBy(*K, "y").agg(F.max("luma").alias("luma"))
     got = per_row.groupBy(*K).agg(
         F.max("y").alias("_h1"),

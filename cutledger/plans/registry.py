@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from cutledger.plans import board, changes, intake, matching, measures, pictures, reads, shots, streams  # noqa: F401
+    from cutledger.plans import board, changes, intake, matching, measures, pictures, reads, shots, streams, talk  # noqa: F401

@@ -1,0 +1,39 @@
+"""Queries that run a stream to its end and return what it left."""
+
+from pyspark.sql import functions as F
+
+from cutledger.plans import derive as d
+from cutledger.plans.intake import _COLS, SCANNED, written_scenes
+from cutledger.plans.registry import query
+from cutledger.session import scratch_path
+from cutledger.streaming import intake
+
+
+@query("k01_incremental_intake", SCANNED)
+def k01(spark, sf):
+    src, sink = written_scenes(spark, sf), scratch_path(spark, "intake")
+    run = intake.stream(spark, src, scratch_path(spark, "intake-log"), sink, d.cuts(spark, sf).withColumn("arrival_seq", F.col("cut_id")))
+    run.awaitTermination()
+    shots = spark.read.option("basePath", f"{sink}/shots").parquet(f"{sink}/shots")
+    return shots.select(*[F.col(c).cast("bigint").alias(c) if c in ("show_id", "cut_id") else F.col(c) for c in _COLS])
+
+
+@query("k02_delivery_guard", "SELECT event_id, user_id, event_type, value FROM events")
+def k02(spark, sf):
+    """Events arrive in three deliveries by id, the second of them twice."""
+    path, out = scratch_path(spark, "events"), scratch_path(spark, "events-once")
+    e = d.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    third = e.withColumn("part", F.col("event_id") % 3)
+    third.write.partitionBy("part").parquet(path)
+    third.filter(F.col("part") == 1).withColumn("part", F.lit(3)).write.mode("append").partitionBy("part").parquet(path)
+    live = spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
+    once = intake.once(live, ["event_id"], "ts", "3650 days")
+    run = (
+        once.writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", scratch_path(spark, "events-log"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    return spark.read.parquet(out).select("event_id", "user_id", "event_type", "value")
