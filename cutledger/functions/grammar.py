@@ -91,20 +91,29 @@ def _roman_value(text: Column) -> Column:
     )
 
 
+def _roman_text(text: Column) -> Column:
+    """Take letters at the head of a field, look-alikes of I mapped to I; may be empty."""
+    token = F.regexp_extract(text, r"^\s*(\S*)", 1)
+    head = F.regexp_extract(F.regexp_replace(token, r"[*.,\-]+$", ""), TAKE_HEAD, 1)
+    return F.translate(F.upper(head), "1L|!", "IIII")
+
+
+def roman(text: str | Column) -> Column:
+    """Roman numeral of the leading take in a field, '' where there is none.
+
+    Well-formed numerals are positive by shape; only others need their value worked out.
+    """
+    r = _roman_text(F.coalesce(_c(text), F.lit("")))
+    return F.when(r.rlike(r"^(X{1,3}(IX|IV|V?I{0,8})|IX|IV|VI{0,8}|I{1,9})$"), r).when(
+        r != "", let(r, lambda v: F.when(_roman_value(v) > 0, v).otherwise(F.lit("")))
+    ).otherwise(F.lit(""))
+
+
 def roman_take(text: str | Column) -> Column:
     """struct<roman, value> of the leading take in a field; ('', 0) where there is none."""
-    none = F.struct(F.lit("").alias("roman"), F.lit(0).alias("value"))
-    token = F.get(F.split(strip(text), r"\s+"), F.lit(0))
-    head = F.regexp_extract(F.regexp_replace(token, r"[*.,\-]+$", ""), TAKE_HEAD, 1)
-    roman = F.translate(F.upper(head), "1L|!", "IIII")
     return let(
-        roman,
-        lambda r: F.when(r == "", none).otherwise(
-            let(
-                _roman_value(r),
-                lambda v: F.when(v > 0, F.struct(r.alias("roman"), v.alias("value"))).otherwise(none),
-            )
-        ),
+        roman(text),
+        lambda r: F.struct(r.alias("roman"), F.when(r == "", 0).otherwise(_roman_value(r)).alias("value")),
     )
 
 
@@ -123,8 +132,7 @@ def slate_token(token: str | Column) -> Column:
         return (
             F.when(t.rlike(r"^[0-9]+$"), F.when(F.length(t) <= 5, _unpad(t)))
             .when(t.rlike(r"^[A-Za-z0-9]+$") & nd.between(2, 5) & (nl <= nd), _unpad(digits))
-            .when(roman_take(t)["roman"] != "", F.lit(None).cast("string"))
-            .when(mapped.rlike(r"^[0-9]{1,4}$"), _unpad(mapped))
+            .when(mapped.rlike(r"^[0-9]{1,4}$") & (roman(t) == ""), _unpad(mapped))
         )
 
     return let(strip(token), read)
@@ -135,8 +143,8 @@ def slate_field(field: str | Column) -> Column:
     none = F.struct(F.lit(None).cast("string").alias("slate"), F.lit("").alias("take"))
 
     def out(slate: Column, rest: Column) -> Column:
-        take = F.when(F.size(rest) > 0, roman_take(F.element_at(rest, -1))["roman"]).otherwise(F.lit(""))
-        return F.when(slate.isNull(), none).otherwise(F.struct(slate.alias("slate"), take.alias("take")))
+        take = F.when(F.size(rest) > 0, roman(F.element_at(rest, -1))).otherwise(F.lit(""))
+        return let(slate, lambda s: F.when(s.isNull(), none).otherwise(F.struct(s.alias("slate"), take.alias("take"))))
 
     def from_tokens(tokens: Column) -> Column:
         first = F.get(tokens, F.lit(0))
@@ -153,10 +161,14 @@ def slate_field(field: str | Column) -> Column:
 
         def joined(n: Column) -> Column:
             text = F.concat_ws("", F.slice(tokens, F.lit(1), n))
-            fits = F.length(text) <= 5
-            digits = F.when(fits, text).when(F.length(first) <= 5, first)
-            used = F.when(fits, n).otherwise(F.lit(1))
-            return out(F.when(digits.isNotNull(), _unpad(digits)), F.slice(tokens, used + 1, F.size(tokens)))
+
+            def fitted(t: Column) -> Column:
+                fits = F.length(t) <= 5
+                used = F.when(fits, n).otherwise(F.lit(1))
+                digits = F.when(fits, _unpad(t)).when(F.length(first) <= 5, _unpad(first))
+                return out(digits, F.slice(tokens, used + 1, F.size(tokens)))
+
+            return let(text, fitted)
 
         return F.when(first.rlike("^[0-9]+$"), let(run, joined)).otherwise(
             out(slate_token(first), F.slice(tokens, F.lit(2), F.size(tokens)))
@@ -188,7 +200,7 @@ def slate_line(raw: str | Column) -> Column:
 
         def finish(t: Column) -> Column:
             return let(
-                roman_take(t)["roman"],
+                roman(t),
                 lambda tk: F.when(
                     tk != "", row(scene, hit["f"]["slate"], tk, strip(F.regexp_extract(t, r"(?s)^\S+\s+(.*)$", 1)))
                 ).otherwise(row(scene, hit["f"]["slate"], hit["f"]["take"], t)),
@@ -198,7 +210,7 @@ def slate_line(raw: str | Column) -> Column:
 
     def without_slate(fields: Column) -> Column:
         takes = F.filter(
-            F.transform(F.slice(fields, F.lit(2), F.size(fields)), lambda f: roman_take(f)["roman"]),
+            F.transform(F.slice(fields, F.lit(2), F.size(fields)), roman),
             lambda t: t != "",
         )
         return row(F.get(fields, F.lit(0)), null, F.coalesce(F.try_element_at(takes, F.lit(-1)), blank), blank)
@@ -213,14 +225,23 @@ def slate_line(raw: str | Column) -> Column:
             lambda hit: F.when(hit.isNull(), without_slate(fields)).otherwise(with_slate(fields, hit)),
         )
 
-    def read(r: Column) -> Column:
-        return (
-            F.when(~r.contains("/"), row(blank, null, blank, blank))
-            .when(is_unreliable(r), row(r, null, blank, blank))
-            .otherwise(let(F.transform(F.split(r, "/"), strip), from_fields))
-        )
-
-    return let(strip(raw), read)
+    # The ordinary line, scene / digits / tail, needs no field list.
+    text = strip(raw)
+    clean = r"^([^/]*)/\s*([0-9]{1,5})\s*/([^/]*)$"
+    tail = F.trim(F.regexp_extract(text, clean, 3))
+    after = F.regexp_extract(tail, r"(?s)^\S+\s+(.*)$", 1)
+    ordinary = row(
+        strip(F.regexp_extract(text, clean, 1)),
+        _unpad(F.regexp_extract(text, clean, 2)),
+        roman(tail),
+        F.when(roman(tail) != "", after).otherwise(tail),
+    )
+    return (
+        F.when(~text.contains("/"), row(blank, null, blank, blank))
+        .when(is_unreliable(text), row(text, null, blank, blank))
+        .when(text.rlike(clean), ordinary)
+        .otherwise(let(F.transform(F.split(text, "/"), strip), from_fields))
+    )
 
 
 def clean_slate_change(a: str | Column, b: str | Column) -> Column:

@@ -33,14 +33,12 @@ def tc_seconds(tc: str | Column) -> Column:
 def seconds_tc(sec: str | Column) -> Column:
     """Seconds to ``HH:MM:SS.mmm``; negatives clamp to zero and milliseconds carry."""
     s = F.greatest(_c(sec), F.lit(0.0))
-    whole = F.floor(s).cast("bigint")
-    ms = whole * 1000 + F.bround((s - whole) * 1000).cast("bigint")
-    t = F.floor(ms / 1000).cast("bigint")
+    ms = F.floor(s) * 1000 + F.bround((s - F.floor(s)) * 1000).cast("bigint")
     return F.format_string(
         "%02d:%02d:%02d.%03d",
-        F.floor(t / 3600).cast("bigint"),
-        F.floor(F.pmod(t, F.lit(3600)) / 60).cast("bigint"),
-        F.pmod(t, F.lit(60)),
+        F.floor(ms / 3600000),
+        F.pmod(F.floor(ms / 60000), F.lit(60)),
+        F.pmod(F.floor(ms / 1000), F.lit(60)),
         F.pmod(ms, F.lit(1000)),
     )
 
@@ -50,12 +48,14 @@ def frames_smpte(frames: str | Column, fps: str | Column, clamp: bool = True) ->
     n = nominal(fps)
     fr = _c(frames).cast("bigint")
     fr = F.greatest(fr, F.lit(0).cast("bigint")) if clamp else fr
-    f = F.pmod(fr, n)
-    t = F.floor((fr - f) / n).cast("bigint")
-    s = F.pmod(t, F.lit(60))
-    m = F.pmod(F.floor((t - s) / 60).cast("bigint"), F.lit(60))
-    h = F.floor(t / 3600).cast("bigint")
-    return F.format_string("%02d:%02d:%02d:%02d", h, m, s, f)
+    # Four uses of ``fr``, not a chain of remainders: nested timecodes must not blow up the plan.
+    return F.format_string(
+        "%02d:%02d:%02d:%02d",
+        F.floor(fr / (n * 3600)),
+        F.pmod(F.floor(fr / (n * 60)), F.lit(60)),
+        F.pmod(F.floor(fr / n), F.lit(60)),
+        F.pmod(fr, n),
+    )
 
 
 def smpte_frames(tc: str | Column, fps: str | Column) -> Column:
@@ -121,9 +121,12 @@ def real_tc(file_tc: str | Column, offset_frames: str | Column, fps: str | Colum
     return frames_smpte(smpte_frames(file_tc, fps) + _c(offset_frames).cast("bigint"), fps)
 
 
-def out_tc(file_tc: str | Column, duration: str | Column, fps: str | Column) -> Column:
+def out_tc(file_tc: str | Column, duration: str | Column, fps: str | Column, offset_frames: str | Column | None = None) -> Column:
     """Last frame of a shot that starts at ``file_tc`` and lasts ``duration`` frames."""
-    return frames_smpte(smpte_frames(file_tc, fps) + _c(duration).cast("bigint") - 1, fps)
+    last = smpte_frames(file_tc, fps) + _c(duration).cast("bigint") - 1
+    if offset_frames is not None:
+        last = last + _c(offset_frames).cast("bigint")
+    return frames_smpte(last, fps)
 
 
 def show_tc_frames(text: str | Column, fps: str | Column) -> Column:

@@ -213,9 +213,9 @@ def h05(spark, sf):
     ),
 )
 def h06(spark, sf):
-    out = tc.out_tc("tc_in", "len_frames", "fps")
+    out = tc.out_tc("tc_in", "len_frames", "fps", F.lit(86160))
     return d.shots(spark, sf).select(
-        *K, "tcid", tc.real_tc("tc_in", F.lit(86160), "fps").alias("real_in"), tc.real_tc(out, F.lit(86160), "fps").alias("real_out")
+        *K, "tcid", tc.real_tc("tc_in", F.lit(86160), "fps").alias("real_in"), out.alias("real_out")
     )
 
 
