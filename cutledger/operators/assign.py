@@ -61,7 +61,9 @@ def unclaimed(new: DataFrame, master: DataFrame, matches: DataFrame) -> tuple[Da
     return n, m
 
 
-def visual(new: DataFrame, master: DataFrame, similarity: DataFrame, floor: float | None = None) -> DataFrame:
+def visual(
+    new: DataFrame, master: DataFrame, similarity: DataFrame, floor: float | None = None, block: int = 128
+) -> DataFrame:
     """Shots without a slate, in input order, take the most similar free master row.
 
     ``similarity``: show_id, tcid, row, score. Ties go to the first master row.
@@ -75,6 +77,7 @@ def visual(new: DataFrame, master: DataFrame, similarity: DataFrame, floor: floa
         n.select("show_id", F.col("tcid").alias("proposer"), F.col("input_pos").alias("pos")),
         wishes_from_table(table, ["show_id"]),
         ["show_id"],
+        block,
     )
     return _as_matches(picks, master)
 
