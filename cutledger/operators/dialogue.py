@@ -89,17 +89,23 @@ def first_heard(chunked: DataFrame, dialogue: DataFrame) -> DataFrame:
 
 
 def known_names(chunked: DataFrame, dialogue: DataFrame) -> DataFrame:
-    """Names heard up to each chunk, sorted. Names fold to their first chunk before any window."""
+    """Names heard up to each chunk, sorted.
+
+    Names fold to their first chunk, so the only window sees one row per chunk that brings a new
+    name. All chunks find their list through the running count of such chunks.
+    """
     fresh = first_heard(chunked, dialogue).groupBy(*K, "chunk").agg(F.collect_set("name").alias("_new"))
-    all_chunks = chunked.select(*K, "chunk").distinct()
     w = Window.partitionBy(*K).orderBy("chunk")
-    grown = fresh.withColumn("_names", F.array_sort(F.flatten(F.collect_list("_new").over(w)))).select(
-        *K, "chunk", "_names"
+    grown = fresh.select(
+        *K, F.row_number().over(w).cast("bigint").alias("_k"), F.array_sort(F.flatten(F.collect_list("_new").over(w))).alias("_names")
     )
-    rows = all_chunks.join(grown, [*K, "chunk"], "left")
-    last = F.last("_names", ignorenulls=True).over(w)
+    rows = chunked.select(*K, "chunk").distinct().join(fresh.select(*K, "chunk", F.lit(1).alias("_f")), [*K, "chunk"], "left")
+    own = F.coalesce("_f", F.lit(0))
+    counted = ordered.running(rows, K, ["chunk"], {"_before": own})
+    listed = counted.withColumn("_k", (F.col("_before") + own).cast("bigint"))
+    got = ordered.salted_lookup(listed, grown, [*K, "_k"], ["chunk"])
     empty = F.array().cast("array<string>")
-    return rows.select(*K, "chunk", F.coalesce(last, empty).alias("names"))
+    return got.select(*K, "chunk", F.coalesce("_names", empty).alias("names"))
 
 
 CAPTION_PROMPT = (

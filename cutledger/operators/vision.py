@@ -6,6 +6,7 @@ Numpy runs inside Arrow batches; Spark partitions and shuffles the work.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ WORDS = ["h_start", "h_mid", "h_end"]
 # --- image fingerprints ----------------------------------------------------------------------
 
 
+@lru_cache(maxsize=256)
 def _area_weights(n_in: int, n_out: int) -> np.ndarray:
     """Rows of an area-average resize from n_in to n_out cells."""
     edges = np.linspace(0, n_in, n_out + 1)
@@ -34,7 +36,8 @@ def _area_weights(n_in: int, n_out: int) -> np.ndarray:
 
 
 def _resize(a: np.ndarray, h: int, w: int) -> np.ndarray:
-    return np.einsum("ih,hw...,jw->ij...", _area_weights(a.shape[0], h), a, _area_weights(a.shape[1], w), optimize=True)
+    tall = np.tensordot(_area_weights(a.shape[0], h), a, axes=(1, 0))
+    return np.moveaxis(np.tensordot(tall, _area_weights(a.shape[1], w), axes=(1, 1)), -1, 1)
 
 
 def _dct_rows(n: int, keep: int) -> np.ndarray:

@@ -262,8 +262,9 @@ def f05(spark, sf):
 
 
 def _images(spark, sf):
-    """Frames in the shape of the image source, drawn from the vectors."""
-    e = d.table(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("show_id"), "vec_id", "embedding")
+    """Frames in the shape of the image source, drawn from the vectors over all cores."""
+    e = d.table(spark, sf, "embeddings").repartition(spark.sparkContext.defaultParallelism)
+    e = e.select(F.col("label").cast("bigint").alias("show_id"), "vec_id", "embedding")
 
     def draw(batches):
         for pdf in batches:
