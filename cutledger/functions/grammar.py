@@ -228,7 +228,7 @@ def slate_line(raw: str | Column) -> Column:
     # The ordinary line, scene / digits / tail, needs no field list.
     text = strip(raw)
     clean = r"^([^/]*)/\s*([0-9]{1,5})\s*/([^/]*)$"
-    tail = F.trim(F.regexp_extract(text, clean, 3))
+    tail = strip(F.regexp_extract(text, clean, 3))
     after = F.regexp_extract(tail, r"(?s)^\S+\s+(.*)$", 1)
     ordinary = row(
         strip(F.regexp_extract(text, clean, 1)),
