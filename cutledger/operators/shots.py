@@ -289,7 +289,12 @@ def ledger_places(ledger: DataFrame) -> DataFrame:
         K,
         ["_late", "_row", "_num"],
         "place",
-        blocks=[F.col("_late"), F.floor(F.col("_row") / step), F.floor(F.col("_num") / (100 * step))],
+        # The tcid leads only among the rows without a sheet row.
+        blocks=[
+            F.col("_late"),
+            F.floor(F.col("_row") / step),
+            F.when(F.col("_late") == 1, F.floor(F.col("_num") / (100 * step))).otherwise(F.lit(0)),
+        ],
     )
     return got.drop("_late", "_row", "_num")
 

@@ -100,6 +100,14 @@ def test_ledger(spark):
     assert S.apply_ledger(s, led, ["w"])[0].count() == 3
 
 
+def test_ledger_places_over_blocks(spark):
+    rows = [("a", "90000000", 5), ("b", "10000000", 4), ("c", "95000000", 3), ("d", "20000000", None), ("e", "80000000", None), ("f", "00000001", 6)]
+    led = spark.createDataFrame([(1, 1, *r) for r in rows], f"{K}, id string, tcid string, top_row bigint")
+    got = sorted(S.ledger_places(led).collect(), key=lambda r: r["place"])
+    assert [(r["id"], r["place"]) for r in got] == [("f", 1), ("a", 2), ("b", 3), ("c", 4), ("e", 5), ("d", 6)]
+    assert [r["id"] for r in S.ledger_order(led).collect()] == list("fabced")
+
+
 def reads(spark, field, per_shot):
     rows = [(1, 1, t, p, field, raw) for t, raws in per_shot.items() for p, raw in zip(("start", "mid", "end"), raws)]
     return spark.createDataFrame(rows, f"{K}, tcid string, pos string, field string, raw string")
