@@ -2,8 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from cutledger.functions import grammar as g
-from cutledger.functions import timecode as tc
 from cutledger.plans import derive as d
 from cutledger.plans.derive import sql
 from cutledger.plans.registry import query

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from cutledger.functions import grammar as g
 from cutledger.operators import audit
 from cutledger.operators import reads as R
-from cutledger.operators import shots as S
 from cutledger.plans import derive as d
 from cutledger.plans.derive import sql
 from cutledger.plans.registry import query
