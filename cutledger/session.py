@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    A temporary folder is used only on a local master, where driver and executors are one
-    process; on a cluster an unset setting is an error rather than a folder that dies with a node.
+    Where the setting is missing, the folder lies below the warehouse, which a cluster shares too;
+    never in a machine's own temporary folder.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -21,19 +20,37 @@ def shared_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="cutledger-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by a table in the shared folder."""
+    return stored(df, "table")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for a table one job writes and another reads."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet below the shared folder and read it back.
+
+    Cuts the lineage like a checkpoint, survives lost executors, and keeps column pruning,
+    pushdown and statistics for what follows.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this session stored below the shared folder; call it when no result is in use."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for item in files.listStatus(path):
+            files.delete(item.getPath(), True)
