@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cutledger.llm import chat, exact, rules
+from cutledger.llm import chat, exact, mix, rules
 from cutledger.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,10 +15,12 @@ QUERIES: dict[str, Query] = {
     "op1_exact_dedup": lambda spark, d: exact.query(documents(spark, d)),
     "op2_chat_format": lambda spark, d: chat.query(spark, documents(spark, d, "conversations")),
     "op4_quality_rules": lambda spark, d: rules.query(documents(spark, d)),
+    "op7_mix_sources": lambda spark, d: mix.query(documents(spark, d)),
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact.SQL,
     "op2_chat_format": chat.SQL,
     "op4_quality_rules": rules.SQL,
+    "op7_mix_sources": mix.SQL,
 }
