@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cutledger.llm import chat, exact, mix, pack, records, rules
+from cutledger.llm import chat, exact, mix, near, pack, records, rules
 from cutledger.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ QUERIES: dict[str, Query] = {
     "op6_token_records": records.query,
     "op7_mix_sources": lambda spark, d: mix.query(documents(spark, d)),
     "op8_pack_sequences": lambda spark, d: pack.query(documents(spark, d)),
+    "op10_near_dedup": lambda spark, d: near.query(documents(spark, d)),
 }
 
 ORACLES: dict[str, str] = {
