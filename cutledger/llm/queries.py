@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cutledger.llm import chat, exact, mix, near, pack, records, rules
+from cutledger.llm import chat, exact, language, mix, near, pack, quality, records, rules
 from cutledger.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,9 +15,11 @@ QUERIES: dict[str, Query] = {
     "op1_exact_dedup": lambda spark, d: exact.query(documents(spark, d)),
     "op2_chat_format": lambda spark, d: chat.query(spark, documents(spark, d, "conversations")),
     "op4_quality_rules": lambda spark, d: rules.query(documents(spark, d)),
+    "op5_language_id": lambda spark, d: language.query(documents(spark, d)),
     "op6_token_records": records.query,
     "op7_mix_sources": lambda spark, d: mix.query(documents(spark, d)),
     "op8_pack_sequences": lambda spark, d: pack.query(documents(spark, d)),
+    "op9_quality_neighbours": lambda spark, d: quality.query(documents(spark, d), documents(spark, d, "labels")),
     "op10_near_dedup": lambda spark, d: near.query(documents(spark, d)),
 }
 
