@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cutledger.llm import chat, exact, language, mix, near, pack, quality, records, rules
+from cutledger.llm import chat, exact, html, language, mix, near, pack, quality, records, rules
 from cutledger.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": lambda spark, d: exact.query(documents(spark, d)),
     "op2_chat_format": lambda spark, d: chat.query(spark, documents(spark, d, "conversations")),
+    "op3_html_text": lambda spark, d: html.query(documents(spark, d, "pages")),
     "op4_quality_rules": lambda spark, d: rules.query(documents(spark, d)),
     "op5_language_id": lambda spark, d: language.query(documents(spark, d)),
     "op6_token_records": records.query,
