@@ -63,7 +63,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def value(rule: str) -> Column:
     over, under = RULES[rule][:2]
-    return F.expr(f"1000 * {PRIVATE}{over} div {PRIVATE}{under}")
+    return F.expr(f"1000 * {PRIVATE}{over} div nullif({PRIVATE}{under}, 0)")
 
 
 def bucket(v: Column) -> Column:
