@@ -19,7 +19,7 @@ from cutledger.llm.common import stored, text_of
 
 #: Pages whose texts the training pages are filled with (chosen by a hash of the id), training
 #: pages made of each, trees and their depth.
-SAMPLE, MADE, TREES, DEPTH = 200, 4, 15, 5
+SAMPLE, MADE, TREES, DEPTH = 200, 10, 24, 5
 SEED = 11
 
 
