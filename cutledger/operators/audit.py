@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutledger.functions import grammar as g
 from cutledger.operators import ordered
+from cutledger.sources.tables import norm_header
 
 K = ["show_id", "cut_id"]
+# Headers of flag columns, as norm_header spells them.
+FLAGS = {"flag", "status", "match", "new", "vfx_flag", "operator_flag"}
 
 
 def operator_flags(sheet: DataFrame, key: list[str]) -> DataFrame:
-    """True where any flag-like column holds something other than a no."""
-    known = ["flag", "status", "match", "new", "vfx_flag", "operator_flag"]
-    cols = [c for c in sheet.columns if c in known]
-    flags = [g.is_flagged(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cols]
+    """True where any flag-like column holds something other than a no; headers count in any spelling."""
+    cols = [c for c in sheet.columns if norm_header(c) in FLAGS]
+    flags = [g.is_flagged(F.coalesce(sheet[f"`{c}`"].cast("string"), F.lit(""))) for c in cols]
     flag = reduce(lambda a, b: a | b, flags, F.lit(False))
     return sheet.select(*key, flag.alias("flag"))
 
@@ -73,23 +75,40 @@ def score_reads(reads: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def _matched(starts: str, tol: int) -> Column:
+    """Pairs along a run: free starts of one side wait, the next of the other side takes the first."""
+    none = F.array().cast("array<bigint>")
+    zero = F.struct(none.alias("free"), F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        near = F.filter(acc["free"], lambda p: p >= x["at"] - tol)
+        takes = (acc["side"] != x["side"]) & (F.size(near) > 0)
+        waits = F.when(acc["side"] == x["side"], near).otherwise(none)
+        return F.struct(
+            F.when(takes, F.slice(near, 2, F.size(near))).otherwise(F.concat(waits, F.array(x["at"]))).alias("free"),
+            F.when(takes, acc["side"]).otherwise(x["side"]).alias("side"),
+            (acc["n"] + F.when(takes, 1).otherwise(0)).alias("n"),
+        )
+
+    return F.aggregate(starts, zero, step, lambda acc: acc["n"])
+
+
 def score_boundaries(shots: DataFrame, truth: DataFrame, tol_frames: int = 0) -> DataFrame:
     """Precision and recall of shot starts against truth starts, one to one within a tolerance.
 
-    Starts meet through buckets of the tolerance, not by crossing a cut. A pair counts when each
-    side is the other's nearest, the smaller start winning a tie.
+    As many starts are matched as can be. Starts further apart than the tolerance never meet, so a
+    cut falls into runs of starts that follow each other closely, and each run is settled by itself:
+    along it a start takes the earliest one of the other side that is still free and near enough.
     """
-    step = tol_frames + 1
     d = shots.select(*K, F.col("start_frame").alias("d")).distinct()
     t = truth.select(*K, F.col("start_frame").alias("t")).distinct()
-    bucket = F.floor(F.col("d") / step)
-    near = [bucket] if tol_frames == 0 else [bucket - 1, bucket, bucket + 1]
-    db = d.withColumn("b", F.explode(F.array(*near)))
-    tb = t.withColumn("b", F.floor(F.col("t") / step))
-    cand = db.join(tb, [*K, "b"]).withColumn("gap", F.abs(F.col("d") - F.col("t"))).filter(F.col("gap") <= tol_frames)
-    best_t = cand.groupBy(*K, "d").agg(F.min_by("t", F.struct("gap", "t")).alias("t"))
-    best_d = cand.groupBy(*K, "t").agg(F.min_by("d", F.struct("gap", "d")).alias("d"))
-    hits = best_t.join(best_d, [*K, "d", "t"]).groupBy(*K).agg(F.count("*").alias("n_hit"))
+    one = d.select(*K, F.col("d").alias("at"), F.lit(0).alias("side")).unionByName(t.select(*K, F.col("t").alias("at"), F.lit(1).alias("side")))
+    one = ordered.neighbour(one, K, ["at", "side"], ["at"], "_p")
+    breaks = F.when(F.col("at") - F.col("_p.at") <= tol_frames, 0).otherwise(1).cast("bigint")
+    one = one.withColumn("_break", breaks).drop("_p")
+    one = ordered.running(one, K, ["at", "side"], {"_run": F.col("_break")}).withColumn("_run", F.col("_run") + F.col("_break"))
+    runs = one.groupBy(*K, "_run").agg(F.sort_array(F.collect_list(F.struct("at", "side"))).alias("starts"), F.count_distinct("side").alias("_sides"))
+    hits = runs.filter("_sides = 2").select(*K, _matched("starts", tol_frames).alias("n")).groupBy(*K).agg(F.sum("n").alias("n_hit"))
     nd, nt = d.groupBy(*K).agg(F.count("*").alias("n_detected")), t.groupBy(*K).agg(F.count("*").alias("n_truth"))
     both = nd.join(nt, K, "full_outer").join(hits, K, "left").na.fill(0, ["n_detected", "n_truth", "n_hit"])
     return both.select(

@@ -101,16 +101,13 @@ def ordinal_by(
 ) -> DataFrame:
     """Row number along (lead, pos), where any one lead value may itself be hot.
 
-    Group sizes are counted first. If none exceeds ``limit`` rows, a plain window is enough.
-    Otherwise the groups beyond it are cut, by lead value and then
-    by position, so equal lead values of any number are spread as well. ``pos_block`` is the block
+    Groups of more than ``limit`` rows are cut, by lead value and then by position, so equal lead
+    values of any number are spread as well; smaller ones stay whole. One plan serves all sizes and
+    no job runs while it is built. ``pos_block`` is the block
     of a position that is not a number, such as the head of a code.
     """
     keys = list(keys)
     big = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys, F.lit(True).alias("_big"))
-    if big.isEmpty():
-        w = Window.partitionBy(*keys).orderBy(lead, pos)
-        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
     tagged = df.join(big, keys, "left")
     cut = F.coalesce(F.col("_big"), F.lit(False))
     inner, none = (block(pos), F.lit(0).cast("bigint")) if pos_block is None else (pos_block, F.lit(""))

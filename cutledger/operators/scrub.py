@@ -11,12 +11,11 @@ from cutledger.operators import ordered
 PREFIX = r"^([A-Za-z]{2,6})[_\-]"
 
 
-def detect_prefix(cells: DataFrame, col: str, sample: int = 200) -> DataFrame:
-    """Most frequent code prefix among the first ``sample`` rows of a tab, the earliest on a tie."""
+def detect_prefix(cells: DataFrame, col: str) -> DataFrame:
+    """Most frequent code prefix among all rows of a tab, the earliest on a tie."""
     rows = cells.filter(F.col("col") == col)
-    near = ordered.ordinal(rows, ["tab"], ["row"], "_n").filter(F.col("_n") <= sample)
     hit = F.upper(F.regexp_extract(g.strip("value"), PREFIX, 1))
-    counts = near.withColumn("prefix", hit).filter(F.col("prefix") != "").groupBy("tab", "prefix").agg(
+    counts = rows.withColumn("prefix", hit).filter(F.col("prefix") != "").groupBy("tab", "prefix").agg(
         F.count("*").alias("n"), F.min("row").alias("first_row")
     )
     return counts.groupBy("tab").agg(
@@ -24,9 +23,9 @@ def detect_prefix(cells: DataFrame, col: str, sample: int = 200) -> DataFrame:
     ).select("tab", "b.prefix", "b.n")
 
 
-def header_row(cells: DataFrame, top: int = 8) -> DataFrame:
-    """Of the first ``top`` rows of a tab the one with most non-blank cells, the first on a tie."""
-    full = cells.filter((F.col("row") <= top) & (g.strip("value") != ""))
+def header_row(cells: DataFrame) -> DataFrame:
+    """The row of a tab with most non-blank cells, the first on a tie."""
+    full = cells.filter(g.strip("value") != "")
     n = full.groupBy("tab", "row").agg(F.count("*").alias("n"))
     return n.groupBy("tab").agg(F.max_by("row", F.struct("n", -F.col("row"))).alias("header_row"))
 

@@ -138,14 +138,13 @@ def sampled(frames: DataFrame, sample: int = 80) -> DataFrame:
     return rows.filter((F.col("_n") <= sample) | kth).drop("_n", "_step")
 
 
-def letterbox(row_luma: DataFrame, thr: float = 12.0, sample: int = 80, inset: int = 1) -> DataFrame:
-    """Active picture rows of a cut from sampled row means.
+def letterbox(row_luma: DataFrame, thr: float = 12.0, inset: int = 1) -> DataFrame:
+    """Active picture rows of a cut from the row means of all its frames.
 
-    ``row_luma``: show_id, cut_id, frame_pos (dense from 0), row_luma array<double>. Every k-th
-    frame is sampled, at most ``sample`` of them, as the operator defines it.
+    ``row_luma``: show_id, cut_id, row_luma array<double>. The largest mean of each row combines
+    before the shuffle, so all frames cost one pass; ``sampled`` picks some first where that is meant.
     """
-    picked = sampled(row_luma, sample)
-    per_row = picked.select(*K, F.posexplode("row_luma").alias("y", "luma")).groupBy(*K, "y").agg(F.max("luma").alias("luma"))
+    per_row = row_luma.select(*K, F.posexplode("row_luma").alias("y", "luma")).groupBy(*K, "y").agg(F.max("luma").alias("luma"))
     got = per_row.groupBy(*K).agg(
         F.max("y").alias("_h1"),
         F.min(F.when(F.col("luma") > thr, F.col("y"))).alias("_top"),

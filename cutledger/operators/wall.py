@@ -183,7 +183,7 @@ def walk(vectors: DataFrame, threshold: float = 0.75, block: int = WALK_BLOCK) -
     A shot stays in the column while its cosine to the column's mean is at least ``threshold``.
     The walk depends on what came before, so it runs block by block along a cut: one round moves
     every cut on by ``block`` shots and hands column number, vector sum and count to the next.
-    ``vectors``: show_id, cut_id, code, order (dense from 0), vec.
+    ``vectors``: show_id, cut_id, code, order, vec. Orders need not be dense.
     """
     rows = materialize(vectors.withColumn("_blk", F.floor(F.col("order") / block).cast("bigint")))
     last = rows.agg(F.max("_blk")).first()[0]
@@ -212,8 +212,7 @@ def walk(vectors: DataFrame, threshold: float = 0.75, block: int = WALK_BLOCK) -
             {"show_id": key[0], "cut_id": key[1], "code": now["code"], "order": now["order"], "column": cols}
         )
         got["sum"], got["n"] = None, None
-        if len(before) and not len(now):
-            return got
+        # A cut without a row in this block hands on what it was given.
         carry = {"show_id": key[0], "cut_id": key[1], "code": None, "order": -1, "column": col, "sum": total, "n": n}
         return pd.concat([got, pd.DataFrame([carry])], ignore_index=True)
 
@@ -234,8 +233,9 @@ def columns(shots: DataFrame, vectors: DataFrame, exclude: list[str] = ("ONLINE"
     """Similarity columns of the included shots; the excluded ones form one column at the end."""
     vec = vectors.select(*K, "code", "vec")
     main = by_status(shots, exclude=list(exclude))
-    main = ordered.ordinal(main.drop("order"), K, ["seq"], "order").withColumn("order", F.col("order") - 1)
-    walked = walk(main.join(vec, [*K, "code"]).select(*K, "code", "order", "vec"), threshold)
+    main = main.drop("order").join(vec, [*K, "code"])  # a shot without a picture takes no place
+    main = ordered.ordinal(main, K, ["seq"], "order").withColumn("order", F.col("order") - 1)
+    walked = walk(main.select(*K, "code", "order", "vec"), threshold)
     end = walked.groupBy(*K).agg((F.max("column") + 1).alias("_end"))
     rest = by_status(shots, only=list(exclude))
     rest = ordered.ordinal(rest.drop("order"), K, ["seq"], "order").withColumn("order", F.col("order") - 1)

@@ -197,8 +197,7 @@ def _cells(spark, sf):
     "d10_code_prefix",
     sql(
         "cells",
-        """SELECT tab, max_by(prefix, (n, -first_row)) AS prefix, max(n) AS n FROM (SELECT tab, upper(regexp_extract(trim(value), '^([A-Za-z]{2,6})[_-]', 1)) AS prefix, count(*) AS n, min(row) AS first_row FROM (
-        SELECT *, row_number() OVER (PARTITION BY tab ORDER BY row) AS k FROM cells WHERE col = 'B') WHERE k <= 200 GROUP BY tab, prefix) WHERE prefix <> '' GROUP BY tab""",
+        """SELECT tab, max_by(prefix, (n, -first_row)) AS prefix, max(n) AS n FROM (SELECT tab, upper(regexp_extract(trim(value), '^([A-Za-z]{2,6})[_-]', 1)) AS prefix, count(*) AS n, min(row) AS first_row FROM cells WHERE col = 'B' GROUP BY tab, prefix) WHERE prefix <> '' GROUP BY tab""",
     ),
 )
 def d10(spark, sf):
@@ -209,7 +208,7 @@ def d10(spark, sf):
     "d15_header_row",
     sql(
         "cells",
-        "SELECT tab, max_by(row, (n, -row)) AS header_row FROM (SELECT tab, row, count(*) AS n FROM cells WHERE row <= 8 AND trim(value) <> '' GROUP BY tab, row) GROUP BY tab",
+        "SELECT tab, max_by(row, (n, -row)) AS header_row FROM (SELECT tab, row, count(*) AS n FROM cells WHERE trim(value) <> '' GROUP BY tab, row) GROUP BY tab",
     ),
 )
 def d15(spark, sf):

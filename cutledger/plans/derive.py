@@ -376,4 +376,4 @@ def sql(names: str, body: str) -> str:
 
     for n in names.split():
         add(n)
-    return "WITH " + ", ".join(f"{n} AS ({CTES[n][1]})" for n in need) + " " + body
+    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in need) + " " + body

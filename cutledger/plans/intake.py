@@ -174,12 +174,13 @@ def a11(spark, sf):
     return spark.read.parquet(path).select(*[F.col(k).cast("bigint").alias(k) for k in K], "seq", "len_frames", "start_frame")
 
 
-_STEM = """substr(CASE WHEN s = '' THEN 'video' ELSE s END, 1, 120)"""
 d.CTES["links"] = (
     "",
-    f"""SELECT page_id, url, direct, {_STEM} AS stem FROM (SELECT page_id, url, regexp_matches(lower(split_part(split_part(url, '?', 1), '#', 1)), '\\.(mp4|mov|mkv|mxf|avi|webm|m4v|mpg|mpeg)$') AS direct,
+    f"""SELECT page_id, url, direct, host || CASE WHEN v <> '' THEN substr(v, 2) ELSE substr(whole, length(host) + 1) END AS link, CASE WHEN s = '' THEN 'video' ELSE s END AS stem FROM (
+    SELECT *, lower(regexp_extract(whole, '^[^/]*//[^/?]*')) AS host, regexp_extract(whole, '[?&]v=[A-Za-z0-9_-]{{6,}}') AS v FROM (
+    SELECT page_id, url, split_part(trim(url), '#', 1) AS whole, regexp_matches(lower(split_part(split_part(url, '?', 1), '#', 1)), '\\.(mp4|mov|mkv|mxf|avi|webm|m4v|mpg|mpeg)$') AS direct,
     regexp_replace(regexp_replace(regexp_replace(CASE WHEN k <> '' THEN k ELSE url END, '[<>:"/\\\\|?*\\x00-\\x1f]', '', 'g'), '\\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g') AS s FROM (
-    SELECT *, regexp_extract(url, '(?:v=|/)([A-Za-z0-9_-]{{6,}})(?:[/?&]|$)', 1) AS k FROM pages) WHERE regexp_matches(lower(trim(url)), '^https?://'))""",
+    SELECT *, regexp_extract(url, '(?:v=|/)([A-Za-z0-9_-]{{6,}})(?:[/?&]|$)', 1) AS k FROM pages) WHERE regexp_matches(lower(trim(url)), '^https?://')))""",
 )
 
 
@@ -187,12 +188,14 @@ d.CTES["links"] = (
     "a13_url_intake",
     sql(
         "links",
-        "SELECT page_id AS url_id, url, stem, direct FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY page_id) AS rn FROM links l WHERE NOT EXISTS (SELECT 1 FROM links x WHERE x.stem = l.stem AND x.page_id % 10 = 0)) WHERE rn = 1",
+        """SELECT page_id AS url_id, url, link, CASE WHEN n > 1 THEN stem || '-' || substr(md5(link), 1, 8) ELSE stem END AS stem, direct FROM (
+        SELECT *, count(*) OVER (PARTITION BY lower(stem)) AS n FROM (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY link ORDER BY page_id) = 1))
+        WHERE link NOT IN (SELECT link FROM links WHERE page_id % 10 = 0)""",
     ),
 )
 def a13(spark, sf):
     p = d.table(spark, sf, "pages").select(F.col("page_id").alias("url_id"), "url")
-    have = X.url_intake(p.filter(F.col("url_id") % 10 == 0)).select("stem")
+    have = p.filter(F.col("url_id") % 10 == 0).select(X.same_link(F.col("url")).alias("link"))
     return X.url_intake(p, have)
 
 

@@ -132,8 +132,8 @@ def d06(spark, sf):
         """SELECT s.show_id, s.tcid, p.match_tier, p.proposed_master_code, p.match_note, FALSE AS duplicate FROM new_cut s LEFT JOIN (
         SELECT show_id, tcid, tier AS match_tier, master_code AS proposed_master_code, '' AS match_note FROM matches UNION ALL
         SELECT show_id, tcid, tier, '', CASE WHEN tier = 'EXTRA' THEN 'counter-drift-candidate' ELSE 'genuinely-new' END FROM (
-        SELECT * FROM leftovers l WHERE NOT EXISTS (SELECT 1 FROM master m WHERE m.show_id = l.show_id AND m.code = l.code)) UNION ALL
-        SELECT show_id, tcid, tier, '', 'engine-missed-exact-code' FROM leftovers l WHERE EXISTS (SELECT 1 FROM master m WHERE m.show_id = l.show_id AND m.code = l.code)) p USING (show_id, tcid)""",
+        SELECT l.* FROM leftovers l ANTI JOIN master m USING (show_id, code)) UNION ALL
+        SELECT show_id, tcid, tier, '', 'engine-missed-exact-code' FROM leftovers l SEMI JOIN master m USING (show_id, code)) p USING (show_id, tcid)""",
     ),
 )
 def i08(spark, sf):

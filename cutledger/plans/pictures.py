@@ -248,7 +248,7 @@ def _luma(spark, sf):
         f"""SELECT CAST(label AS BIGINT) AS show_id, CAST(1 AS BIGINT) AS cut_id, CAST(CASE WHEN lo IS NULL THEN 0 ELSE least(lo + 1, 63) END AS BIGINT) AS top,
         CAST(CASE WHEN hi IS NULL THEN 63 ELSE greatest(hi - 1, CASE WHEN lo IS NULL THEN 0 ELSE least(lo + 1, 63) END) END AS BIGINT) AS bottom FROM (
         SELECT label, min(CASE WHEN luma > 12 THEN y END) AS lo, max(CASE WHEN luma > 12 THEN y END) AS hi FROM (
-        SELECT label, i - 1 AS y, max(abs(CAST(embedding[i] AS DOUBLE)) * CASE WHEN i <= 6 OR i > 58 THEN 20 ELSE 100 END) AS luma FROM ({_SAMPLED}), range(1, 65) t(i) GROUP BY label, i) GROUP BY label)""",
+        SELECT label, i - 1 AS y, max(abs(CAST(embedding[i] AS DOUBLE)) * CASE WHEN i <= 6 OR i > 58 THEN 20 ELSE 100 END) AS luma FROM frames, range(1, 65) t(i) GROUP BY label, i) GROUP BY label)""",
     ),
 )
 def d09(spark, sf):

@@ -210,13 +210,13 @@ d.CTES["around"] = (
 )
 _CHANGE = """coalesce(start_slate, '') <> '' AND coalesce(end_slate, '') <> '' AND start_slate <> end_slate AND NOT contains(start_slate, end_slate)
     AND NOT contains(end_slate, start_slate) AND abs(CAST(start_slate AS BIGINT) - CAST(end_slate AS BIGINT)) > 1"""
-_REASON = "'placeholder slate burn-in, can''t anchor oracle'"
+_REASON = "'slate is a placeholder and proves nothing'"
 d.CTES["findings"] = (
     "around",
-    f"""SELECT show_id, cut_id, 'MERGE' AS kind, tcid AS boundary_frame_tcid, p_tcid AS prev_tcid, tcid AS after_tcid, slate, printf('same slate+take, continuous picture (mad=%.1f)', d_prev::DOUBLE) AS detail
+    f"""SELECT show_id, cut_id, 'MERGE' AS kind, tcid AS boundary_frame_tcid, p_tcid AS prev_tcid, tcid AS after_tcid, slate, printf('one slate and take, picture goes on (difference %.1f)', d_prev::DOUBLE) AS detail
     FROM around WHERE p_tcid IS NOT NULL AND km <> 10 AND p_km <> 10 AND slate <> '' AND slate = p_slate AND take_roman = p_take AND d_prev < 12
     UNION ALL SELECT show_id, cut_id, 'UNRELIABLE', '', p_tcid, tcid, '', {_REASON} FROM around WHERE p_tcid IS NOT NULL AND (km = 10 OR p_km = 10)
-    UNION ALL SELECT show_id, cut_id, 'SPLIT', '', tcid, '', start_slate || '->' || end_slate, printf('intra-shot jump %.1f + slate change', greatest(d_sm, d_me)::DOUBLE)
+    UNION ALL SELECT show_id, cut_id, 'SPLIT', '', tcid, '', start_slate || '->' || end_slate, printf('picture jumps by %.1f and the slate changes', greatest(d_sm, d_me)::DOUBLE)
     FROM around WHERE len_frames >= 8 AND greatest(d_sm, d_me) >= 26 AND ka <> 10 AND kb <> 10 AND {_CHANGE}
     UNION ALL SELECT show_id, cut_id, 'UNRELIABLE', '', '', tcid, '', {_REASON} FROM around WHERE len_frames >= 8 AND greatest(d_sm, d_me) >= 26 AND (ka = 10 OR kb = 10)""",
 )

@@ -63,7 +63,7 @@ def e08(spark, sf):
     "g04_chunks_with_work",
     sql(
         "chunked",
-        f"SELECT {KEY}, seq, chunk FROM chunked c WHERE EXISTS (SELECT 1 FROM chunked w WHERE w.show_id = c.show_id AND w.chunk = c.chunk AND w.slate_n = 9)",
+        f"SELECT {KEY}, seq, chunk FROM chunked SEMI JOIN (SELECT DISTINCT show_id, chunk FROM chunked WHERE slate_n = 9) USING (show_id, chunk)",
     ),
 )
 def g04(spark, sf):

@@ -22,14 +22,19 @@ HEADER = [
     "Length (timecode)",
     "Length (seconds)",
 ]
-WIDE = ", ".join(f"c{i} string" for i in range(len(HEADER)))
 CUT_KEY = r"show_id=(\d+)/cut_id=(\d+)/"
 
 
 def raw_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines of all files with the file as key. The long preamble line keeps its first cells."""
-    reader = spark.read.schema(WIDE).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true")
-    return reader.csv(paths).select("*", F.col("_metadata.file_path").alias("path"))
+    """Lines of all files with the file as key."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    return reader.text(paths).select("value", F.col("_metadata.file_path").alias("path"))
+
+
+def cells_of(line: Column) -> Column:
+    """All cells of a line, however many: commas inside quotes do not part them."""
+    parts = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    return F.transform(parts, lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
 
 
 def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,11 +42,10 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Cells are found by the header row of their own file. A file without one is rejected.
     """
-    cells = [F.trim(F.coalesce(f"c{i}", F.lit(""))) for i in range(len(HEADER))]
-    first = F.trim(F.coalesce("c0", F.lit("")))
-    heads = lines.filter(first == HEADER[0]).groupBy("path").agg(F.min(F.array(*cells)).alias("_head"))
-    rows = lines.filter(first.rlike(r"^[0-9]+$")).withColumn("_cells", F.array(*cells))
-    rows = ordered.salted_lookup(rows, heads, ["path"], ["c1"])
+    first = F.trim(F.replace(F.substring_index("value", ",", 1), F.lit('"'), F.lit("")))
+    heads = lines.filter(first == HEADER[0]).groupBy("path").agg(F.min(cells_of(F.col("value"))).alias("_head"))
+    rows = lines.filter(first.rlike(r"^[0-9]+$")).withColumn("_cells", cells_of(F.col("value")))
+    rows = ordered.salted_lookup(rows, heads, ["path"], ["value"])
 
     def cell(name: str) -> Column:
         at = F.array_position("_head", F.lit(name))
@@ -88,7 +92,8 @@ def scan_scenes(
     """Shots of all cuts below ``paths`` and the rejects.
 
     Files lie in ``show_id=../cut_id=../``. A tcid that occurs twice in a cut goes to the
-    rejects with all its rows, since every later join relies on it.
+    rejects with all its rows, since every later join relies on it. So do rows of a cut whose frame
+    rate is unknown: without one there is no tcid.
     """
     return key_shots(*parse(raw_lines(spark, paths)), cuts)
 
@@ -98,12 +103,13 @@ def key_shots(shots: DataFrame, rejects: DataFrame, cuts: DataFrame) -> tuple[Da
         {k: F.regexp_extract("path", CUT_KEY, i + 1).cast("bigint") for i, k in enumerate(K)}
     )
     rows = ordered.salted_lookup(keyed, cuts.select(*K, "fps"), K, ["seq"])
-    rows = rows.withColumn("tcid", tc.tcid_from_tc("start_tc", F.coalesce("fps", F.lit(24.0))))
+    unknown = rows.filter(F.col("fps").isNull()).select("path", F.lit("unknown frame rate").alias("reason"))
+    rows = rows.filter(F.col("fps").isNotNull()).withColumn("tcid", tc.tcid_from_tc("start_tc", F.col("fps")))
     twice = rows.groupBy(*K, "tcid").count().filter(F.col("count") > 1).select(*K, "tcid")
     good = rows.join(twice, [*K, "tcid"], "left_anti")
     dup = rows.join(twice, [*K, "tcid"], "left_semi").select("path", F.concat(F.lit("duplicate tcid "), "tcid").alias("reason"))
     cols = [*K, "tcid", "seq", "start_frame", "end_frame", "len_frames", "start_s", "end_s", "start_tc", "end_tc", "duration_s", "fps"]
-    return good.select(*cols), rejects.unionByName(dup)
+    return good.select(*cols), rejects.unionByName(dup).unionByName(unknown)
 
 
 def write_scenes(shots: DataFrame, path: str, block: int = ordered.BLOCK_ROWS) -> None:

@@ -20,11 +20,9 @@ def stream(spark: SparkSession, path: str, checkpoint: str, sink: str, cuts: Dat
     that is repeated after a failure replaces itself.
     """
     lines = (
-        spark.readStream.schema(scenes.WIDE)
-        .option("mode", "PERMISSIVE")
-        .option("recursiveFileLookup", "true")
-        .csv(path)
-        .select("*", F.col("_metadata.file_path").alias("path"))
+        spark.readStream.option("recursiveFileLookup", "true")
+        .text(path)
+        .select("value", F.col("_metadata.file_path").alias("path"))
     )
 
     def intake(batch: DataFrame, batch_id: int) -> None:

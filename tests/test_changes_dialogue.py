@@ -158,3 +158,17 @@ def test_scrub(spark):
     assert scrub.detect_prefix(cells, "A").first()["prefix"] == "PEF"
     left = scrub.clear(cells, spark.createDataFrame([("R", 4)], "tab string, first_row bigint"), auto_tabs=["T"])
     assert sorted((r["tab"], r["row"], r["col"]) for r in left.collect()) == [("R", 3, "E"), ("T", 1, "A"), ("T", 3, "A"), ("T", 3, "B")]
+
+
+def test_a_note_that_only_the_new_read_has_is_added(spark):
+    old = spark.createDataFrame([(1, "wire removal"), (2, "gone")], "id bigint, note string")
+    new = spark.createDataFrame([(1, "wire removal", False), (3, "sky replacement", False)], "id bigint, note string, shaky boolean")
+    got = {r["id"]: (r["status"], r["merged"]) for r in C.reconcile_notes(old, new, ["id"]).collect()}
+    assert got == {1: ("unchanged", "wire removal"), 2: ("removed", "gone ## Blank"), 3: ("added", "sky replacement")}
+
+
+def test_prefix_and_header_come_from_all_rows(spark):
+    rows = [("t", i, "A", "ABC_1") for i in range(1, 10)] + [("t", 9, c, "x") for c in "BCD"] + [("t", i, "A", "ZZ_2") for i in range(300, 320)]
+    cells = spark.createDataFrame(rows, "tab string, row bigint, col string, value string")
+    assert scrub.detect_prefix(cells, "A").first()["prefix"] == "ZZ"
+    assert scrub.header_row(cells).first()["header_row"] == 9

@@ -26,7 +26,7 @@ def line(n, a, b, tc="00:00:00.000"):
 
 
 def cuts(spark):
-    return spark.createDataFrame([(1, 1, 24.0), (1, 2, 25.0)], f"{K}, fps double")
+    return spark.createDataFrame([(1, 1, 24.0), (1, 2, 25.0), (1, 3, 24.0)], f"{K}, fps double")
 
 
 def library(base):
@@ -45,6 +45,29 @@ def test_scan(spark, tmp_path):
     assert sorted(r["reason"] for r in rejects.collect()) == ["duplicate tcid 00000000", "duplicate tcid 00000000", "no header row"]
 
 
+def test_scan_of_wide_files_and_unknown_rates(spark, tmp_path):
+    wide = HEAD.replace("Scene Number", "Scene Number,More,Notes")
+    scene_file(tmp_path, 1, 1, ["Timecode List:," + ",".join(["00:00:01.000"] * 3000), wide, '7,x,"a, ""b"", c",1,00:00:00.000,0,24,00:00:01.000,1,24,x,1.0'])
+    scene_file(tmp_path, 9, 9, [HEAD, line(1, 1, 24)])
+    shots, rejects = scenes.scan_scenes(spark, str(tmp_path), cuts(spark))
+    assert [(r["seq"], r["start_frame"], r["end_frame"], r["len_frames"], r["duration_s"]) for r in shots.collect()] == [(7, 1, 24, 24, 1.0)]
+    assert [r["reason"] for r in rejects.collect()] == ["unknown frame rate"]
+
+
+def test_links_under_one_path_piece_all_stay(spark):
+    urls = ["https://a.example/articles/1", "https://b.example/articles/2", "HTTPS://A.example/articles/1#top", "https://c.example/" + "x" * 200 + "/a", "https://c.example/" + "x" * 200 + "/b", "no link"]
+    got = X.url_intake(spark.createDataFrame(list(enumerate(urls)), "url_id bigint, url string")).collect()
+    assert sorted(r["url_id"] for r in got) == [0, 1, 3, 4] and len({r["stem"] for r in got}) == 4
+
+
+def test_an_unreadable_artifact_is_an_error_and_an_absent_one_is_empty(spark, tmp_path):
+    assert X.optional(spark, str(tmp_path / "none"), "a bigint").count() == 0
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "x.parquet").write_bytes(b"junk")
+    with pytest.raises(Exception):
+        X.optional(spark, str(tmp_path / "t"), "a bigint").count()
+
+
 def test_stream_takes_each_file_once(spark, tmp_path):
     src, sink, log = (str(tmp_path / n) for n in ("in", "out", "log"))
     c = cuts(spark).selectExpr("*", "cut_id AS arrival_seq")
@@ -91,7 +114,7 @@ def test_stems_and_links(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([("Café: <Ünïté>  1 . ",), ("???",), ("x" * 200,)], "t string").coalesce(1)
-    assert [r[0] for r in df.select(X.safe_stem(F.col("t"))).collect()] == ["Cafe Unite 1", "video", "x" * 120]
+    assert [r[0] for r in df.select(X.safe_stem(F.col("t"))).collect()] == ["Cafe Unite 1", "video", "x" * 200]
 
 
 def test_optional_pending_and_diff(spark, tmp_path):

@@ -147,3 +147,10 @@ def test_board_plans(spark):
     assert acts == [("a", "rename"), ("b", "new"), ("c", "new"), ("y", "missing"), ("z", "missing")]
     groups = spark.createDataFrame([(1, "g1", "f1"), (1, "g1", "i1"), (1, "g3", "f3")], "show_id bigint, group_id string, item string")
     assert {r["code"]: r["verdict"] for r in wall.verify(state, groups).collect()} == {"a": "ok", "y": "bad", "z": "no-group"}
+
+
+def test_walk_carries_over_blocks_without_rows_and_columns_have_no_gaps(spark):
+    v = [(1, 1, str(o), o, [1.0, 0.0] if o % 2 else [0.0, 1.0]) for o in (0, 1, 4, 5)]
+    df = spark.createDataFrame(v, "show_id bigint, cut_id bigint, code string, order bigint, vec array<double>")
+    for block in (2, 100):
+        assert sorted((r["order"], r["column"]) for r in wall.walk(df, 0.75, block).collect()) == [(0, 0), (1, 1), (4, 2), (5, 3)]
