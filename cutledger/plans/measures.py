@@ -121,7 +121,22 @@ def m02(spark, sf):
     return got.withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
 
 
-@query("m02_boundary_tolerance")
+@query(
+    "m02_boundary_tolerance",
+    sql(
+        "edit",
+        f"""SELECT {KEY}, n_detected, n_truth, n_hit, n_hit / n_detected AS precision, n_hit / n_truth AS recall FROM (
+        WITH RECURSIVE s AS (SELECT {KEY}, start_frame AS pos, 0 AS side FROM edit WHERE slate_n % 3 <> 0 UNION SELECT {KEY}, start_frame + 1, 1 FROM edit WHERE slate_n % 5 <> 0),
+        e AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY pos, side) AS k FROM s),
+        w AS (SELECT {KEY}, k, [pos] AS waits, side, CAST(0 AS BIGINT) AS n FROM e WHERE k = 1
+          UNION ALL SELECT show_id, cut_id, k, CASE WHEN was <> side AND len(f) > 0 THEN f[2:] WHEN was = side THEN list_append(f, pos) ELSE [pos] END,
+          CASE WHEN was <> side AND len(f) > 0 THEN was ELSE side END, n + CASE WHEN was <> side AND len(f) > 0 THEN 1 ELSE 0 END FROM (
+            SELECT e.show_id, e.cut_id, e.k, e.pos, e.side, w.side AS was, w.n, list_filter(w.waits, lambda p: p >= e.pos - 2) AS f
+            FROM w JOIN e ON e.show_id = w.show_id AND e.cut_id = w.cut_id AND e.k = w.k + 1))
+        SELECT s.show_id, s.cut_id, count_if(side = 0)::BIGINT AS n_detected, count_if(side = 1)::BIGINT AS n_truth, max(m.n)::BIGINT AS n_hit
+        FROM s JOIN (SELECT {KEY}, max(n) AS n FROM w GROUP BY {KEY}) m USING (show_id, cut_id) GROUP BY ALL)""",
+    ),
+)
 def m02t(spark, sf):
     """The same with a tolerance of two frames."""
     e = d.stored(d.edit(spark, sf).select(*K, "start_frame", "slate_n"))
