@@ -377,7 +377,11 @@ def close_pairs(
         counts = counts.unionByName(plain[1].groupBy(*key).count()).groupBy(*key).agg(F.sum("count").alias("count"))
     crowded = counts.filter(F.col("count") > crowd).select(*key)
     calm = [d.join(crowded, key, "left_anti") for d in plain]
-    fine = [explode(d, _refined(words, bits, bands)).join(crowded, key, "left_semi") for d in sides]
+    # Only rows found in a crowded band are cut once more, and only along that band.
+    inner = [f"v.{w}" for w in words]
+    cuts = F.explode(F.filter(_refined(inner, bits, bands), lambda s: s["band"] == F.col("band")))
+    hits = [d.join(crowded, key, "left_semi").select(*key, "v", cuts.alias("_s")) for d in plain]
+    fine = [h.select(*group, "v", "_s.*") for h in hits]
     spread = [c.unionByName(f) for c, f in zip(calm, fine)]
     a = spread[0].withColumnRenamed("v", "a")
     b = spread[-1].withColumnRenamed("v", "b")

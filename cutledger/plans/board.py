@@ -93,8 +93,8 @@ def e10(spark, sf):
     sql("walled", "SELECT show_id, code, fr AS tc_frames, ord AS \"order\" FROM walled"),
 )
 def f01(spark, sf):
-    rows = wall.order(_board(spark, sf)).select("show_id", "code", "tc_frames", "order")
-    return rows.orderBy("show_id", F.asc_nulls_last("tc_frames"), "code")
+    """The order is a column; sorting the whole library once more would add nothing."""
+    return wall.order(_board(spark, sf)).select("show_id", "code", "tc_frames", "order")
 
 
 # Shows with an odd number have a board already, with the tiles of slates 0 to 29.
