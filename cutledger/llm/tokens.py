@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,8 +11,8 @@ import numpy as np
 #: The vocabulary file's place is a parameter; this is its usual name.
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
-#: Blanks next to other white space: there the tokenizer looks further than one blank.
-_UNCLEAR = re.compile(r"\s (?:\s|\Z)")
+#: Stands before the first word of a line, which has no blank before it.
+_FIRST = "\x00"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -23,15 +22,16 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Encodes whole texts, with a bounded memory of the pieces between blanks.
+    """Encodes whole texts, with a bounded memory of words.
 
-    The tokenizer splits a text before every blank that no other white space touches, whatever
-    stands around it; so the ids of a text are those of its pieces, one after the other, and a
-    piece that came before need not be encoded again. A text in which a blank does stand beside
-    other white space is encoded as a whole. Ids are little-endian numbers of `dtype`.
+    Where words are parted by single blanks and line feeds only, the tokenizer never looks beyond
+    a word: a blank belongs to the word after it, a line feed is a piece of its own. So the ids of
+    such a text are those of its words, one after the other, and a word that came before need not
+    be encoded again; new words are encoded together, one to a line. Any other text is encoded as
+    a whole. Ids are little-endian numbers of `dtype`.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -39,23 +39,37 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.most, self.known = most, {}
+        self.line = self._ids("\n")
+        self.most, self.known = most, self._empty()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if _UNCLEAR.search(x) else x.split(" ") for x in texts]
-        # All pieces but a text's first have their blank before them.
-        new = set().union(*(p[1:] for p in split if p)).difference(self.known)
+    def _empty(self) -> dict[str, bytes]:
+        return {"\n": self.line.tobytes(), _FIRST: b""}
+
+    def _learn(self, keys: set[str]) -> None:
+        new = list(keys.difference(self.known))
         if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = set().union(*(p[1:] for p in split if p))
-        new = list(new)
-        self.known.update(zip(new, self._ids([" " + x for x in new]), strict=True))
-        heads = iter(self._ids([x if p is None else p[0] for x, p in zip(texts, split, strict=True)]))
+            self.known = self._empty()
+            new = list(keys.difference(self.known))
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            ids = self._ids("\n".join(k[1:] if k[0] == _FIRST else " " + k for k in part))
+            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids)).tolist()
+            start = 0
+            for k, end in zip(part, ends, strict=True):
+                self.known[k] = ids[start:end].tobytes()
+                start = end + 1
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split: list[list[str] | None] = []
+        for x in texts:
+            plain = len(self.line) == 1 and _FIRST not in x and " ".join(x.split()) == x.replace("\n", " ")
+            split.append((_FIRST + x.replace("\n", f" \n {_FIRST}")).split(" ") if plain else None)
+        self._learn(set().union(*filter(None, split)))
         get = self.known.__getitem__
-        return [next(heads) if p is None else b"".join([next(heads), *map(get, p[1:])]) for p in split]
+        return [self._ids(x).tobytes() if keys is None else b"".join(map(get, keys)) for x, keys in zip(texts, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
