@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -95,47 +96,40 @@ class _Bucket:
         return fits & (over >= -slack), fits & (over >= slack), over
 
     def first(self, percent: int) -> Iterator[tuple[int, int]]:
-        """Pairs to confirm: a tree over each cluster of members similar beyond doubt, and for each
-        cluster and later member that may be similar, the pair that looks most so."""
+        """Pairs to confirm first, fewer than there are members: a tree over each cluster of members
+        similar beyond doubt, and from each cluster the pair with an earlier one that looks most so."""
         todo = np.arange(len(self.keys))
-        while len(todo) > 1:
-            queue, todo = [todo[0]], todo[1:]
-            best = np.full(len(self.keys), -np.inf)
-            who = np.zeros(len(self.keys), int)
-            while queue and len(todo):
+        best, who = np.full(len(self.keys), -np.inf), np.zeros(len(self.keys), int)
+        while len(todo):
+            queue, todo, cluster = [todo[0]], todo[1:], []
+            while queue:
                 p = queue.pop()
+                cluster.append(p)
+                if not len(todo):
+                    continue
                 may, sure, over = self.compare(p, todo, percent)
                 yield from ((p, q) for q in todo[sure])
-                maybe = todo[may & ~sure]
-                better = maybe[over[may & ~sure] > best[maybe]]
-                best[better], who[better] = over[np.isin(todo, better)], p
+                better = may & ~sure & (over > best[todo])
+                best[todo[better]], who[todo[better]] = over[better], p
                 queue.extend(todo[sure])
                 todo = todo[~sure]
-            yield from ((who[q], q) for q in todo if best[q] > -np.inf)
-
-    def rest(self, percent: int) -> Iterator[tuple[int, int]]:
-        """All pairs that may be similar and are in different components so far."""
-        for p in range(len(self.keys) - 1):
-            others = np.arange(p + 1, len(self.keys))
-            others = others[self.parts[others] != self.parts[p]]
-            if len(others):
-                yield from ((p, q) for q in others[self.compare(p, others, percent)[0]])
-
-
-def _compare(percent: int, first: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of buckets whose rows follow each other: bucket, key, size, samples, sketch, part."""
-
-    def pairs(rows: pa.Table) -> list[tuple[int, int]]:
-        key, size, samples, part = (rows.column(c).to_numpy() for c in ("rep", "n_shingles", "n_samples", "part"))
-        bucket = _Bucket(key, size, samples, rows.column("sketch").to_pylist(), part)
-        found = bucket.first(percent) if first else bucket.rest(percent)
-        return [(min(key[p], key[q]), max(key[p], key[q])) for p, q in found]
-
-    def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        a, b = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    held, found = [], []
+            # What was noted from within the cluster is no pair with an earlier one.
+            own = set(cluster)
+            outside = [q for q in cluster if best[q] > -np.inf and who[q] not in own]
+            if outside:
+                q = max(outside, key=lambda q: best[q])
+                yield who[q], q
+
+    def apart(self, p: int, part: np.ndarray, percent: int) -> np.ndarray:
+        """Later members that may be similar to p and belong to another part."""
+        others = np.arange(p + 1, len(self.keys))
+        others = others[part[others] != part[p]]
+        return others[self.compare(p, others, percent)[0]] if len(others) else others
+
+
+def _buckets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each bucket, whose rows follow each other."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -143,19 +137,67 @@ def _compare(percent: int, first: bool, batches: Iterable[pa.RecordBatch]) -> It
         ids = table.column("bucket").to_numpy()
         edges = np.concatenate(([0], np.flatnonzero(ids[1:] != ids[:-1]) + 1))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            found += pairs(table.slice(a, b - a))
+            yield table.slice(a, b - a)
         held = table.slice(edges[-1]).to_batches()  # it may go on in the next batch
-        if len(found) > 10_000:
-            yield out(found)
-            found = []
     if held:
-        found += pairs(pa.Table.from_batches(held))
-    if found:
-        yield out(found)
+        yield pa.Table.from_batches(held)
+
+
+def _bucket(rows: pa.Table) -> _Bucket:
+    key, size, samples, part = (rows.column(c).to_numpy() for c in ("rep", "n_shingles", "n_samples", "part"))
+    return _Bucket(key, size, samples, rows.column("sketch").to_pylist(), part)
+
+
+def _pairs_out(pairs: Iterator[tuple[int, int]], names: tuple[str, str], most: int = 10_000) -> Iterator[pa.RecordBatch]:
+    while found := list(islice(pairs, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=list(names))
+
+
+def _trees(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b: the pairs of each bucket to confirm first."""
+
+    def pairs() -> Iterator[tuple[int, int]]:
+        for rows in _buckets_of(batches):
+            bucket = _bucket(rows)
+            for p, q in bucket.first(percent):
+                yield min(bucket.keys[p], bucket.keys[q]), max(bucket.keys[p], bucket.keys[q])
+
+    yield from _pairs_out(pairs(), ("a", "b"))
+
+
+def _open(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket, rep: members that may be similar to one of another component."""
+
+    def members() -> Iterator[tuple[int, int]]:
+        for rows in _buckets_of(batches):
+            bucket, wanted = _bucket(rows), np.zeros(rows.num_rows, bool)
+            for p in range(rows.num_rows - 1):
+                others = bucket.apart(p, bucket.parts, percent)
+                wanted[others] = True
+                wanted[p] |= len(others) > 0
+            yield from ((rows.column("bucket")[0].as_py(), k) for k in bucket.keys[wanted])
+
+    yield from _pairs_out(members(), ("bucket", "rep"))
+
+
+def _settle(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b: links on full sets that bring together components which meet in a bucket."""
+
+    def links() -> Iterator[tuple[int, int]]:
+        for rows in _buckets_of(batches):
+            bucket, part = _bucket(rows), rows.column("part").to_numpy().copy()
+            sets = [shingle_set(x.as_py().encode()) for x in rows.column("text")]
+            for p in range(rows.num_rows - 1):
+                for q in bucket.apart(p, part, percent):
+                    if part[p] != part[q] and similar(sets[p], sets[q], percent):
+                        part[part == part[q]] = part[p]
+                        yield bucket.keys[p], bucket.keys[q]
+
+    yield from _pairs_out(links(), ("a", "b"))
 
 
 def _confirm(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, linked: whether the full sets of both texts are similar enough."""
+    """a, b: the pairs whose full sets are similar enough."""
     last, last_set = None, None
     for batch in batches:
         a, b, ta, tb = (batch.column(i) for i in range(4))
@@ -164,7 +206,7 @@ def _confirm(percent: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Rec
             if key != last:
                 last, last_set = key, shingle_set(ta[i].as_py().encode())
             linked.append(similar(last_set, shingle_set(tb[i].as_py().encode()), percent))
-        yield pa.RecordBatch.from_arrays([a, b, pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -180,7 +222,8 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     into parts and every two parts meet, so no task holds more than CROWD members and no pair of a
     bucket is left out. Inside a bucket odd sketches rule out what is too far apart. A first pass
     confirms on full sets a tree per cluster; a second pass takes every pair of a bucket that may
-    be similar and that the first did not bring together. Only pairs within one component are
+    be similar and that the first did not bring together, and settles it on full sets where the
+    bucket's members lie, so that only links leave the task. Only pairs within one component are
     never looked at.
     """
     rows = docs.select(KEY, F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
@@ -191,16 +234,17 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     buckets = stored(_buckets(reps), "buckets")
     sketched = stored(buckets.join(reps.drop("bands"), "rep"), "sketched")
 
-    pairs = stored(_candidates(sketched.withColumn("part", F.lit(0).cast("bigint")), percent, True), "pairs")
-    checked = stored(_checked(pairs, rows, percent), "checked")
-    parts = components(checked.where("linked").select("a", "b"))
+    pairs = stored(_laid(sketched.withColumn("part", F.lit(0).cast("bigint"))).mapInArrow(partial(_trees, percent), "a bigint, b bigint").distinct(), "pairs")
+    links = stored(_checked(pairs, rows, percent), "links")
+    parts = components(links)
     labelled = stored(sketched.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component"), "labelled")
-    open_ = labelled.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
-    more = stored(_candidates(labelled.join(open_, "bucket", "left_semi"), percent, False).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
-    if more.limit(1).count():
-        added = stored(_checked(more, rows, percent), "more-checked")
-        if added.where("linked").limit(1).count():
-            parts = components(checked.unionByName(added).where("linked").select("a", "b"))
+    several = labelled.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
+    unsettled = stored(_laid(labelled.join(several, "bucket", "left_semi")).mapInArrow(partial(_open, percent), "bucket bigint, rep bigint"), "unsettled")
+    if unsettled.limit(1).count():
+        texts = unsettled.join(rows.select(F.col(KEY).alias("rep"), "text"), "rep").join(labelled, ["bucket", "rep"])
+        more = stored(_laid(texts, "text").mapInArrow(partial(_settle, percent), "a bigint, b bigint"), "more-links")
+        if more.limit(1).count():
+            parts = components(links.unionByName(more))
 
     # Back to all rows: row -> representative -> component.
     member = signed.select(KEY, "id", "n_shingles", "digest").join(classes, "digest", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
@@ -229,16 +273,18 @@ def _buckets(reps: DataFrame) -> DataFrame:
     return once.select(F.xxhash64("members", F.reverse("members")).alias("bucket"), F.explode("members").alias("rep"))
 
 
-def _candidates(members: DataFrame, percent: int, first: bool) -> DataFrame:
-    laid = members.select("bucket", "rep", "n_shingles", "n_samples", "sketch", "part").repartition("bucket").sortWithinPartitions("bucket", "rep")
-    return laid.mapInArrow(partial(_compare, percent, first), "a bigint, b bigint").distinct()
+def _laid(members: DataFrame, *more: str) -> DataFrame:
+    """The members of each bucket side by side."""
+    cols = ["bucket", "rep", "n_shingles", "n_samples", "sketch", "part", *more]
+    return members.select(*cols).repartition("bucket").sortWithinPartitions("bucket", "rep")
 
 
 def _checked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are links on full sets."""
     texts = rows.select(KEY, "text")
     one = pairs.join(texts.select(F.col(KEY).alias("a"), F.col("text").alias("ta")), "a")
     two = one.join(texts.select(F.col(KEY).alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return two.mapInArrow(partial(_confirm, percent), "a bigint, b bigint, linked boolean")
+    return two.mapInArrow(partial(_confirm, percent), "a bigint, b bigint")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
