@@ -241,7 +241,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     several = labelled.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
     unsettled = stored(_laid(labelled.join(several, "bucket", "left_semi")).mapInArrow(partial(_open, percent), "bucket bigint, rep bigint"), "unsettled")
     if unsettled.limit(1).count():
-        texts = unsettled.join(rows.select(F.col(KEY).alias("rep"), "text"), "rep").join(labelled, ["bucket", "rep"])
+        texts = unsettled.join(_texts(rows, unsettled.select("rep")), "rep").join(labelled, ["bucket", "rep"])
         more = stored(_laid(texts, "text").mapInArrow(partial(_settle, percent), "a bigint, b bigint"), "more-links")
         if more.limit(1).count():
             parts = components(links.unionByName(more))
@@ -279,11 +279,18 @@ def _laid(members: DataFrame, *more: str) -> DataFrame:
     return members.select(*cols).repartition("bucket").sortWithinPartitions("bucket", "rep")
 
 
+def _texts(rows: DataFrame, keys: DataFrame, few: int = 200_000) -> DataFrame:
+    """rep, text of the listed keys: up to `few` keys travel to the texts, else both are shuffled."""
+    listed = stored(keys.distinct(), "wanted")
+    small = F.broadcast(listed) if listed.count() <= few else listed
+    return rows.select(F.col(KEY).alias("rep"), "text").join(small, "rep", "left_semi")
+
+
 def _checked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The pairs that are links on full sets."""
-    texts = rows.select(KEY, "text")
-    one = pairs.join(texts.select(F.col(KEY).alias("a"), F.col("text").alias("ta")), "a")
-    two = one.join(texts.select(F.col(KEY).alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    texts = _texts(rows, pairs.select(F.explode(F.array("a", "b")).alias("rep")))
+    one = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
+    two = one.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return two.mapInArrow(partial(_confirm, percent), "a bigint, b bigint")
 
 
