@@ -13,6 +13,10 @@ BLOCKS = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("head script style noscript template textarea title iframe svg math select button object canvas audio video datalist".split())
+#: Start tags that may stand in a head; any other one, and text, ends it.
+IN_HEAD = set("html head base basefont bgsound link meta title noscript noframes script style template".split())
+#: Blocks that stand in an unseen element and do not end it when its end tag is missing.
+OPTIONS = {"option", "optgroup", "hr"}
 #: A start tag ends an open element of these, unless one of the walls lies between.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -62,16 +66,46 @@ class Node:
         self.link = 0
 
 
+def _without_end(tags: list[tuple[int, int, bool, str, str]]) -> set[int]:
+    """Places of the start tags of unseen elements whose end tag is missing: an outer element ends before it."""
+    opened: list[tuple[str, int]] = []
+    n, out = dict.fromkeys(BLOCKS | HIDDEN, 0), set()
+    for k, (_, _, closing, tag, attrs) in enumerate(tags):
+        if tag not in n or tag == "p" or tag == "hr" or tag == "html":
+            continue
+        if not closing:
+            if tag in BLOCKS or not attrs.endswith("/"):
+                opened.append((tag, k))
+                n[tag] += 1
+        elif n[tag]:
+            while True:
+                other, at = opened.pop()
+                n[other] -= 1
+                if other == tag:
+                    break
+                if other in HIDDEN:
+                    out.add(at)
+    return out | {at for tag, at in opened if tag in HIDDEN}
+
+
 def parse(page: str) -> Node:
     """The page's block elements as a tree; its leaves are runs of text with no block between.
 
     Comments, scripts, styles and other unseen elements are dropped, inline elements melt into
     their run, character references are decoded, white space becomes single blanks. Ill-formed
     markup is taken as it comes: unclosed elements end with their parent, a paragraph with the
-    next block, a tag or entity cut off by the end of the page is dropped or stays as text.
+    next block, a tag or entity cut off by the end of the page is dropped or stays as text. A head
+    ends with the first thing that may not stand in it; an unseen element without an end tag ends
+    with the next block.
     """
     root = Node("html", None)
-    here, at, hidden, anchor = root, 0, [], 0
+    here, at, anchor = root, 0, 0
+    hidden: list[tuple[str, bool]] = []  # open unseen elements, and whether their end tag is missing
+    tags = []
+    for m in _TAG.finditer(page):
+        name = m.group(3) or m.group(6)
+        tags.append((m.start(), m.end(), bool(m.group(2) or m.group(5)), name.lower() if name else "", m.group(4) or m.group(7) or ""))
+    missing = _without_end(tags)
     run: list[tuple[str, bool]] = []
 
     def end_run() -> None:
@@ -85,28 +119,32 @@ def parse(page: str) -> Node:
             here.children.append(leaf)
         run.clear()
 
-    for m in _TAG.finditer(page):
-        if m.start() > at and not hidden:
-            run.append((page[at : m.start()], anchor > 0))
-        at = m.end()
-        name = m.group(3) or m.group(6)
-        if not name:
+    def add_text(start: int, end: int) -> None:
+        if len(hidden) == 1 and hidden[0][0] == "head" and not page[start:end].isspace():
+            hidden.clear()
+        if not hidden:
+            run.append((page[start:end], anchor > 0))
+
+    for k, (start, end, closing, tag, attrs) in enumerate(tags):
+        if start > at:
+            add_text(at, start)
+        at = end
+        if not tag:
             continue
-        closing, tag, attrs = bool(m.group(2) or m.group(5)), name.lower(), m.group(4) or m.group(7) or ""
         if hidden:
-            if tag == hidden[-1] and closing:
+            if closing and any(x == tag for x, _ in hidden):
+                while hidden.pop()[0] != tag:
+                    pass
+                continue
+            while hidden and hidden[-1][1] and hidden[-1][0] != "head" and tag in BLOCKS and tag not in OPTIONS:
                 hidden.pop()
-            elif tag in HIDDEN and not closing and not attrs.endswith("/"):
-                hidden.append(tag)
-            elif tag == "body" and not closing and hidden == ["head"]:
+            if len(hidden) == 1 and hidden[0][0] == "head" and not closing and tag not in IN_HEAD:
                 hidden.clear()
-            if hidden:
-                continue
-            if tag != "body":
-                continue
         if tag in HIDDEN:
             if not closing and not attrs.endswith("/"):
-                hidden.append(tag)
+                hidden.append((tag, k in missing))
+            continue
+        if hidden:
             continue
         if tag == "a":
             anchor = 0 if closing else 1
@@ -139,8 +177,8 @@ def parse(page: str) -> Node:
         node = Node(tag, here, names, int(mark.group(1)) if mark else None)
         here.children.append(node)
         here = node
-    if not hidden and at < len(page):
-        run.append((page[at:], anchor > 0))
+    if at < len(page):
+        add_text(at, len(page))
     end_run()
     return root
 
