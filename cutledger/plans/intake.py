@@ -195,7 +195,7 @@ d.CTES["links"] = (
 )
 def a13(spark, sf):
     p = d.table(spark, sf, "pages").select(F.col("page_id").alias("url_id"), "url")
-    have = p.filter(F.col("url_id") % 10 == 0).select(X.same_link(F.col("url")).alias("link"))
+    have = X.url_intake(p.filter(F.col("url_id") % 10 == 0)).select("link", "stem")
     return X.url_intake(p, have)
 
 
