@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cutledger.operators import audit, qc
 from cutledger.sources import scenes
-from cutledger.sources.artifacts import sink as write
+from cutledger.sources.artifacts import optional, sink as write
 
 K = ["show_id", "cut_id"]
 
@@ -16,8 +16,10 @@ K = ["show_id", "cut_id"]
 def stream(spark: SparkSession, path: str, checkpoint: str, sink: str, cuts: DataFrame) -> StreamingQuery:
     """Turn scene files that arrived since the last run into shots, flags and fps guard rows.
 
-    Each micro-batch runs the batch operators and writes below its own batch number, so a batch
-    that is repeated after a failure replaces itself.
+    Parsed rows are kept in ``arrived``, below the number of their micro-batch, so a batch that is
+    repeated after a failure replaces itself. Each batch runs the batch operators over all rows that
+    its cuts have so far, and puts the results in the place of what these cuts had: the outcome does
+    not depend on how files fall into batches.
     """
     lines = (
         spark.readStream.option("recursiveFileLookup", "true")
@@ -26,16 +28,24 @@ def stream(spark: SparkSession, path: str, checkpoint: str, sink: str, cuts: Dat
     )
 
     def intake(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
         batch.persist()
-        shots, rejects = scenes.key_shots(*scenes.parse(batch), cuts)
+        shots, rejects = scenes.parse(batch)
+        write(_keyed(shots), f"{sink}/arrived/batch={batch_id}")
+        write(_keyed(rejects), f"{sink}/unread/batch={batch_id}")
+        touched = _keyed(batch.select("path").distinct()).select(*K).distinct().persist()
+        so_far = [_so_far(own, f"{sink}/{name}", df, batch_id, touched) for name, df in (("arrived", shots), ("unread", rejects))]
+        shots, rejects = scenes.key_shots(*so_far, cuts)
+        shots.persist()
         hashes = shots.select(*K, "tcid", *[F.lit(None).cast("bigint").alias(f"a_{p}") for p in ("start", "mid", "end")])
-        write(shots, f"{sink}/shots/batch={batch_id}")
-        write(qc.suspects(shots, hashes), f"{sink}/qc_flags/batch={batch_id}")
-        rejects.write.mode("overwrite").parquet(f"{sink}/rejects/batch={batch_id}")
+        _replace(shots, f"{sink}/shots", touched)
+        _replace(qc.suspects(shots, hashes), f"{sink}/qc_flags", touched)
+        _replace(_keyed(rejects), f"{sink}/rejects", touched)
         arrived = shots.select("show_id").distinct()
         guard = audit.fps_guard(cuts.join(arrived, "show_id", "left_semi"))
-        guard.write.mode("overwrite").parquet(f"{sink}/fps_guard/batch={batch_id}")
-        batch.unpersist()
+        guard.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("show_id").parquet(f"{sink}/fps_guard")
+        for df in (shots, touched, batch):
+            df.unpersist()
 
     return (
         lines.writeStream.foreachBatch(intake)
@@ -45,6 +55,29 @@ def stream(spark: SparkSession, path: str, checkpoint: str, sink: str, cuts: Dat
     )
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """With the cut that the path names, null where it names none."""
+    return rows.withColumns({k: F.regexp_extract("path", scenes.CUT_KEY, i + 1).try_cast("bigint") for i, k in enumerate(K)})
+
+
+def _so_far(spark: SparkSession, path: str, like: DataFrame, batch_id: int, touched: DataFrame) -> DataFrame:
+    """Rows of the touched cuts from all batches up to this one, with the columns of ``like``."""
+    schema = ", ".join([f"{c} {t}" for c, t in like.dtypes] + ["batch bigint", *(f"{k} bigint" for k in K)])
+    rows = optional(spark, path, schema).filter(F.col("batch") <= batch_id)
+    same = [rows[k].eqNullSafe(touched[k]) for k in K]
+    return rows.join(touched, same, "left_semi").select(*like.columns)
+
+
+def _replace(rows: DataFrame, path: str, touched: DataFrame) -> None:
+    """Write the rows in place of those of the touched cuts; a cut that has none any more loses its folder."""
+    rows.hint("rebalance", *K).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*K).parquet(path)
+    gone = touched.join(rows.select(*K).distinct(), K, "left_anti").dropna()
+    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for r in gone.toLocalIterator():
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/show_id={r['show_id']}/cut_id={r['cut_id']}")
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def once(events: DataFrame, keys: list[str], time: str, horizon: str) -> DataFrame:
     """Drop repeated deliveries of a key that come within the horizon of the first."""
     return events.withWatermark(time, horizon).dropDuplicatesWithinWatermark(keys)
