@@ -121,8 +121,9 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
 
     A text fails the base rules with fewer than ten words or over a fifth of them in repeated
     windows. Of the others, each language and source (null being one of each) keeps a mergeable
-    sketch of every measure; a text beyond a fence of its group is rejected. Counts are stored
-    once and read twice. Fences join by broadcast up to `few` groups, else by a shuffle. A null
+    sketch of every measure; a text beyond a fence of its group is rejected. A group of fewer than
+    ENOUGH such texts takes its language's fences, a language of fewer those of all texts: there a
+    text's verdict depends on how many of its kind are in the table. Counts are stored once and read twice. Fences join by broadcast up to `few` groups, else by a shuffle. A null
     text has no words and fails the base rules.
     """
     cols = docs.columns if carry is None else carry
