@@ -11,7 +11,7 @@ from cutledger.session import stored
 WHITE = " \t\n\x0b\x0c\r"
 KEY = "_row_key"
 
-__all__ = ["KEY", "WHITE", "bare", "documents", "keyed", "stored", "text_of", "words"]
+__all__ = ["KEY", "WHITE", "bare", "documents", "keyed", "packed", "stored", "text_of", "words"]
 
 
 def text_of(column: str) -> Column:
@@ -29,6 +29,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, WHITE[1:], " " * (len(WHITE) - 1)), " "), "")
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of a caller's table as one struct `row`, so that no name of theirs can clash."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cutledger.llm import chat, exact, html, language, mix, near, pack, quality, records, rules
+from cutledger.llm import chat, exact, html, language, lines, mix, near, pack, quality, ranked, records, rules, variants
 from cutledger.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,9 @@ QUERIES: dict[str, Query] = {
     "op8_pack_sequences": lambda spark, d: pack.query(documents(spark, d)),
     "op9_quality_neighbours": lambda spark, d: quality.query(documents(spark, d), documents(spark, d, "labels")),
     "op10_near_dedup": lambda spark, d: near.query(documents(spark, d)),
+    "op11_ranked_search": lambda spark, d: ranked.query(documents(spark, d), documents(spark, d, "benchmark")),
+    "op12_line_dedup": lambda spark, d: lines.query(documents(spark, d)),
+    "op13_spelling_variants": lambda spark, d: variants.query(documents(spark, d)),
 }
 
 ORACLES: dict[str, str] = {
@@ -29,4 +32,6 @@ ORACLES: dict[str, str] = {
     "op2_chat_format": chat.SQL,
     "op4_quality_rules": rules.SQL,
     "op7_mix_sources": mix.SQL,
+    "op11_ranked_search": ranked.SQL,
+    "op12_line_dedup": lines.SQL,
 }
