@@ -6,12 +6,14 @@ Every tier claims master rows; later tiers see only what is left.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutledger.functions import grammar as g
 from cutledger.operators import ordered
-from cutledger.operators.choice import serial_choice, wishes_from_table
+from cutledger.operators.choice import serial_choice, staggered, wishes_from_table
 from cutledger.operators.vision import top_similar
 from cutledger.session import materialize
 
@@ -88,7 +90,7 @@ def visual_by_vector(
     """The same choice with vectors on both sides instead of a finished similarity table.
 
     ``new_vec``: show_id, tcid, vec; ``master_vec``: show_id, row, vec. A row without a vector is
-    no candidate.
+    no candidate. A shot lists its most similar items that no earlier shot holds, ``block`` a round.
     """
     n = _parsed(new).filter(~_has_slate())
     a = n.join(new_vec, ["show_id", "tcid"]).select(
@@ -101,19 +103,32 @@ def visual_by_vector(
     )
     a = materialize(a)
 
-    def wishes(members: DataFrame, taken: DataFrame | None) -> DataFrame:
-        mine = a.join(members.select("show_id", F.col("proposer").alias("id")), ["show_id", "id"], "left_semi")
-        free = b
-        if taken is not None:
-            free = b.join(taken.select("show_id", F.col("item").alias("id")), ["show_id", "id"], "left_anti")
-        top = top_similar(mine, free, ["show_id"], block, floor=floor)
-        want = F.struct((-F.col("score")).alias("s"), F.col("item_pos").alias("p"))
-        return top.select("show_id", "proposer", "item", want.alias("want"))
+    def wishes(members: DataFrame, held: DataFrame | None) -> DataFrame:
+        mine = a.join(members.select("show_id", F.col("proposer").alias("id"), F.col("_rank").alias("since")), ["show_id", "id"])
+        if held is None:
+            return _first_wishes(mine, b, block, floor)
+        items = b.join(held.select("show_id", F.col("item").alias("id"), F.col("_holder").alias("until")), ["show_id", "id"], "left")
+        return _wanted(top_similar(mine, items, ["show_id"], block, floor=floor))
 
     picks = serial_choice(a.select("show_id", F.col("id").alias("proposer"), "pos"), wishes, ["show_id"], block)
     return _as_matches(picks, master)
 
 
+def _wanted(top: DataFrame, *more: str) -> DataFrame:
+    want = F.struct((-F.col("score")).alias("s"), F.col("item_pos").alias("p"))
+    return top.select("show_id", "proposer", "item", want.alias("want"), *more)
+
+
+def _first_wishes(mine: DataFrame, items: DataFrame, block: int, floor: float | None) -> DataFrame:
+    """Wishes while all items are free; shots of one vector share a list, which is made once."""
+    same = ["show_id", "vec"]
+    looks = mine.groupBy(*same).agg(F.min_by("id", "since").alias("id"), F.min("pos").alias("pos"), F.count("*").alias("k"))
+    looks = materialize(looks.withColumn("k", F.col("k") + block - 1))
+    lists = _wanted(top_similar(looks, items, ["show_id"], block, floor=floor), "rank").withColumnRenamed("proposer", "list")
+    members = mine.join(looks.select(*same, F.col("id").alias("list")), same).select("show_id", "list", F.col("id").alias("proposer"), F.col("since").alias("pos"))
+    return staggered(members, lists, ["show_id"], block)
+
+
 def _as_matches(picks: DataFrame, master: DataFrame) -> DataFrame:
     code = master.select("show_id", F.col("row").alias("master_row"), F.col("code").alias("master_code"))
     got = picks.withColumnsRenamed({"proposer": "tcid", "item": "master_row"}).join(code, ["show_id", "master_row"])
@@ -148,21 +163,25 @@ def assign(
     similarity: DataFrame | None = None,
     protected: DataFrame | None = None,
     visual_floor: float | None = None,
+    vectors: tuple[DataFrame, DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All tiers in order. Returns matches, leftovers, omits.
 
-    Each tier is checkpointed once, since the next one and the result both read it.
+    The visual tier runs over a table of similarities (see visual()) or over vectors of both sides
+    (see visual_by_vector()). Each tier's own matches are stored once, since the next tier and the
+    result both read them.
     """
-    n, m = _parsed(new), _parsed(master)
-    found = materialize(exact_code(n, m))
-    tiers = [lambda a, b: ordinal(a, b, True), lambda a, b: ordinal(a, b, False)]
-    if similarity is not None:
+    n, m = materialize(_parsed(new)), materialize(_parsed(master))
+    tiers = [exact_code, lambda a, b: ordinal(a, b, True), lambda a, b: ordinal(a, b, False)]
+    if vectors is not None:
+        tiers.append(lambda a, b: visual_by_vector(a, b, *vectors, floor=visual_floor))
+    elif similarity is not None:
         tiers.append(lambda a, b: visual(a, b, similarity, visual_floor))
+    n_left, m_left, found = n, m, []
     for tier in tiers:
-        left = unclaimed(n, m, found)
-        found = materialize(found.unionByName(tier(*left)))
-    n_left, m_left = unclaimed(n, m, found)
-    return found, leftovers(n_left, m), omits(m_left, protected)
+        found.append(materialize(tier(n_left, m_left)))
+        n_left, m_left = unclaimed(n_left, m_left, found[-1])
+    return reduce(DataFrame.unionByName, found), leftovers(n_left, m), omits(m_left, protected)
 
 
 def violations(matches: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ Numpy runs inside Arrow batches; Spark partitions and shuffles the work.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cutledger.operators import ordered
 from cutledger.operators.qc import hamming
 from cutledger.schema import POSITIONS
+from cutledger.session import materialize
 
 K = ["show_id", "cut_id"]
 SHOT = [*K, "tcid"]
@@ -234,59 +235,136 @@ def hash_similarity(aa: Column, ab: Column, da: Column, db: Column) -> Column:
     return 0.5 * (1 - hamming(aa, ab) / 64.0) + 0.5 * (1 - hamming(da, db) / 64.0)
 
 
-def _vector_blocks(side: DataFrame, group: list[str], size: int) -> DataFrame:
-    """Vectors of a group packed into rows of at most ``size``; groups of any size spread."""
-    numbered = ordered.ordinal(side, group, ["pos"], "_n")
+#: Later than any rank; centres of blocks that travel together; blocks of a first look.
+FREE, CENTRES, LOOKS = 1 << 62, 1024, 4
+
+
+def _vector_blocks(side: DataFrame, group: list[str], size: int, cols: dict[str, Column], name: str) -> DataFrame:
+    """Vectors of a group in rows of at most ``size``, those that look alike together.
+
+    A code of which component exceeds the next puts them in order; groups of any size spread.
+    """
+    code = F.expr("aggregate(transform(slice(vec, 1, 16), (x, i) -> IF(x > coalesce(get(vec, i + 1), 0), shiftleft(1, 15 - i), 0)), 0, (a, b) -> a + b)")
+    rows = side.select(*group, "id", "pos", "vec", *(c.alias(n) for n, c in cols.items()), code.cast("bigint").alias("_code"))
+    numbered = ordered.ordinal(rows, group, ["_code", "pos"], "_n", blocks=[F.floor(F.col("_code") / 256)])
     blk = F.floor((F.col("_n") - 1) / size).cast("bigint")
-    packed = numbered.groupBy(*group, blk.alias("_blk")).agg(F.collect_list(F.struct("id", "pos", "vec")).alias("_v"))
-    return packed
+    return numbered.groupBy(*group, blk.alias(f"_b{name}")).agg(F.collect_list(F.struct("id", "pos", "vec", *cols)).alias(f"_v{name}"))
+
+
+def _unit(vectors) -> np.ndarray:
+    m = np.array([np.asarray(v["vec"], np.float64) for v in vectors])
+    n = np.sqrt((m * m).sum(1, keepdims=True))
+    return m / np.where(n == 0, 1.0, n)
+
+
+def _centres(blocks: DataFrame, group: list[str]) -> DataFrame:
+    """The centre of every block and how far its vectors lie from it, CENTRES blocks to a row."""
+    kinds = dict(blocks.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for *g, blk, vs in pdf[[*group, "_bb", "_vb"]].itertuples(index=False, name=None):
+                u = _unit(vs)
+                c = u.mean(0)
+                out.append((*g, blk, c.tolist(), float(np.sqrt(((u - c) ** 2).sum(1).max()))))
+            yield pd.DataFrame(out, columns=[*group, "_bb", "centre", "radius"])
+
+    schema = ", ".join([f"{g} {kinds[g]}" for g in group] + ["_bb bigint", "centre array<double>", "radius double"])
+    each = blocks.select(*group, "_bb", "_vb").mapInPandas(run, schema)
+    pack = F.floor(F.col("_bb") / CENTRES)
+    return each.groupBy(*group, pack.alias("_pack")).agg(F.collect_list(F.struct("_bb", "centre", "radius")).alias("_c"))
+
+
+def _scored(va, vb, sims: np.ndarray) -> np.ndarray:
+    """Scores of two blocks; what an earlier proposer holds is out of reach."""
+    since = np.array([v["since"] for v in va], np.int64)
+    until = np.array([v["until"] for v in vb], np.int64)
+    return np.where(until[None, :] > since[:, None], np.round(sims, 12), -np.inf)
 
 
 def top_similar(
-    new: DataFrame, master: DataFrame, group: list[str], k: int, block: int = 1024, floor: float | None = None
+    new: DataFrame, master: DataFrame, group: list[str], k: int, block: int = 1024, floor: float | None = None, tallies: list | None = None
 ) -> DataFrame:
     """The ``k`` most similar items of every proposer, best first, ties to the first item.
 
-    Both sides: group, id, pos, vec. The pairs are never rows: a task multiplies one block of
-    vectors by another and keeps ``k`` per proposer and block; a map-side limited window then
-    keeps ``k`` of all.
+    Both sides: group, id, pos, vec. Optional: ``k`` of a proposer in its place; ``since`` of a
+    proposer and ``until`` of an item, which meet only where until > since (null: always).
+
+    The pairs are never rows, and few blocks meet. A first look multiplies each block of proposers
+    with the LOOKS blocks of items whose centres most of them are nearest to, and notes each
+    proposer's k-th score there. By
+    Cauchy-Schwarz no vector of a block scores more than the block's centre plus its radius, so a
+    block whose bound is below the k-th score of all proposers of a block is skipped; only the
+    others' vectors move. ``tallies`` gets (pairs of blocks that met, all pairs of blocks).
     """
-    a = _vector_blocks(new, group, block).withColumnsRenamed({"_blk": "_ba", "_v": "_va"})
-    b = _vector_blocks(master, group, block).withColumnsRenamed({"_blk": "_bb", "_v": "_vb"})
-    ids = a.select(*group, "_ba").join(b.select(*group, "_bb"), group)
-    work = ids.join(a, [*group, "_ba"]).join(b, [*group, "_bb"])
+    has = {c: c in side.columns for side, cs in ((new, ("k", "since")), (master, ("until",))) for c in cs}
+    a_cols = {"k": F.col("k").cast("int") if has["k"] else F.lit(k), "since": F.coalesce("since", F.lit(0)).cast("bigint") if has["since"] else F.lit(0).cast("bigint")}
+    b_cols = {"until": F.coalesce("until", F.lit(FREE)).cast("bigint") if has["until"] else F.lit(FREE).cast("bigint")}
+    a = materialize(_vector_blocks(new, group, block, a_cols, "a"))
+    b = materialize(_vector_blocks(master, group, block, b_cols, "b"))
+    centres = materialize(_centres(b, group))
     kinds = dict(new.dtypes) | {"item": dict(master.dtypes)["id"]}
+    keys = ", ".join(f"{g} {kinds[g]}" for g in group)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for *g, ba, va, cs in pdf.itertuples(index=False, name=None):
+                near = _unit(va) @ np.array([c["centre"] for c in cs]).T
+                votes = np.bincount(near.argmax(1), np.maximum(near.max(1), 1e-9), len(cs))
+                out.extend((*g, ba, cs[int(j)]["_bb"], float(votes[j])) for j in np.argsort(-votes)[:LOOKS] if votes[j] > 0)
+            yield pd.DataFrame(out, columns=[*group, "_ba", "_bb", "near"])
 
-    def unit(vectors) -> np.ndarray:
-        m = np.array([np.asarray(v["vec"], np.float64) for v in vectors])
-        n = np.sqrt((m * m).sum(1, keepdims=True))
-        return m / np.where(n == 0, 1.0, n)
+    def kth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for *g, ba, va, vb in pdf.itertuples(index=False, name=None):
+                s = -np.sort(-_scored(va, vb, _unit(va) @ _unit(vb).T), axis=1)
+                out.append((*g, ba, [float(s[i, v["k"] - 1]) if v["k"] <= s.shape[1] else -np.inf for i, v in enumerate(va)]))
+            yield pd.DataFrame(out, columns=[*group, "_ba", "low"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def open_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False, name=None):
-                va, vb = row[-2:]
-                sims = unit(va) @ unit(vb).T
-                pos_b = np.array([v["pos"] for v in vb])
-                keep = min(k, len(vb))
-                out = []
+            out = []
+            for *g, ba, va, low, cs in pdf.itertuples(index=False, name=None):
+                bound = _unit(va) @ np.array([c["centre"] for c in cs]).T + np.array([c["radius"] for c in cs]) + 1e-9
+                wanted = (bound >= np.maximum(np.array(low), -np.inf if floor is None else floor)[:, None]).any(0)
+                out.extend((*g, ba, c["_bb"]) for c, w in zip(cs, wanted) if w)
+            yield pd.DataFrame(out, columns=[*group, "_ba", "_bb"])
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for *g, va, low, vb in pdf.itertuples(index=False, name=None):
+                s = _scored(va, vb, _unit(va) @ _unit(vb).T)
+                pos_b, out = np.array([v["pos"] for v in vb]), []
+                least = np.maximum(np.array(low), -np.finfo(float).max if floor is None else floor)
                 for i, v in enumerate(va):
-                    best = np.lexsort((pos_b, -np.round(sims[i], 12)))[:keep]
-                    out.extend((v["id"], vb[j]["id"], pos_b[j], round(float(sims[i, j]), 12)) for j in best)
-                got = pd.DataFrame(out, columns=["proposer", "item", "item_pos", "score"])
-                for n, val in zip(group, row[: len(group)]):
-                    got.insert(0, n, val)
-                if floor is not None:
-                    got = got[got["score"] >= floor]
-                yield got[[*group, "proposer", "item", "item_pos", "score"]]
-
-    schema = ", ".join(
-        [f"{g} {kinds[g]}" for g in group]
-        + [f"proposer {kinds['id']}", f"item {kinds['item']}", "item_pos bigint", "score double"]
-    )
-    pairs = work.select(*group, "_va", "_vb").mapInPandas(run, schema)
+                    hit = np.flatnonzero(s[i] >= least[i])
+                    if len(hit) > v["k"]:
+                        hit = hit[s[i, hit] >= -np.partition(-s[i, hit], v["k"] - 1)[v["k"] - 1]]
+                    for j in hit[np.lexsort((pos_b[hit], -s[i, hit]))[: v["k"]]]:
+                        out.append((*g, v["id"], vb[j]["id"], pos_b[j], float(s[i, j]), v["k"]))
+                yield pd.DataFrame(out, columns=[*group, "proposer", "item", "item_pos", "score", "k"])
+
+    met = a.join(centres, group).select(*group, "_ba", "_va", "_c").mapInPandas(nearest, f"{keys}, _ba bigint, _bb bigint, near double")
+    w = Window.partitionBy(*group, "_ba").orderBy(F.desc("near"), "_bb")
+    first = met.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= LOOKS).select(*group, "_ba", "_bb")
+    pair = lambda ids: ids.join(a, [*group, "_ba"]).join(b, [*group, "_bb"])
+    seen = pair(first).select(*group, "_ba", "_va", "_vb").mapInPandas(kth, f"{keys}, _ba bigint, low array<double>")
+    highest = F.reduce(F.collect_list("low"), F.array().cast("array<double>"), lambda x, y: F.zip_with(x, y, lambda p, q: F.greatest(F.coalesce(p, q), q)))
+    lows = materialize(seen.groupBy(*group, "_ba").agg(highest.alias("low")))
+    noted = a.join(lows, [*group, "_ba"])
+    ids = noted.join(centres, group).select(*group, "_ba", "_va", "low", "_c").mapInPandas(open_blocks, f"{keys}, _ba bigint, _bb bigint")
+    ids = materialize(ids)
+    if tallies is not None:
+        every = a.select(*group, "_ba").join(b.select(*group, "_bb"), group).count()
+        tallies.append((ids.count(), every))
+    work = ids.join(noted, [*group, "_ba"]).join(b, [*group, "_bb"])
+    schema = f"{keys}, proposer {kinds['id']}, item {kinds['item']}, item_pos bigint, score double, k int"
+    pairs = work.select(*group, "_va", "low", "_vb").mapInPandas(best, schema)
     w = Window.partitionBy(*group, "proposer").orderBy(F.desc("score"), "item_pos")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("k")).drop("k")
 
 
 # --- near duplicates over the library --------------------------------------------------------
@@ -319,28 +397,31 @@ def band_signatures(words: list[str], bits: int, bands: int) -> Column:
     )
 
 
-def _refined(words: list[str], bits: int, bands: int) -> Column:
-    """For each band: its value joined with one of ``bands`` cuts of all other bits.
+def _cut_finer(words: list[str], bits: int, bands: int, schema: str):
+    """Rows of crowded buckets, once per piece of the bits that their bucket does not yet agree in.
 
-    Hashes equal in a band and within ``bands - 1`` bits elsewhere share one of the cuts of the
-    rest too, so a crowded band value can be cut further without losing a pair.
+    ``path`` names the pieces agreed in so far; each cuts what was left into ``bands`` pieces.
     """
-    e = _edges(0, bits, bands)
-    out = []
-    for i in range(bands):
-        before, after = e[i], bits - e[i + 1]
-        rest = _edges(0, before + after, bands)
-        for j in range(bands):
-            pieces = []
-            for lo, hi in ((rest[j], min(rest[j + 1], before)), (max(rest[j], before), rest[j + 1])):
-                if lo < hi:
-                    shift = e[i + 1] - before if lo >= before else 0
-                    pieces.append(_bits(words, lo + shift, hi + shift))
-            sub = F.xxhash64(F.lit(j), *pieces)
-            out.append(
-                F.struct(F.lit(i).alias("band"), _bits(words, e[i], e[i + 1]).alias("value"), sub.alias("sub"))
-            )
-    return F.array(*out)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def left(path: tuple[int, ...]) -> list[np.ndarray]:
+        rest = np.arange(bits)
+        for p in path:
+            e = _edges(0, len(rest), bands)
+            rest = np.concatenate([rest[: e[p]], rest[e[p + 1] :]])
+        e = _edges(0, len(rest), bands)
+        return [rest[e[j] : e[j + 1]] for j in range(bands)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, rows in pdf.groupby(pdf["path"].map(tuple), sort=False):
+                flat = rows[words].to_numpy(np.int64).view(np.uint64)
+                on = np.concatenate([(flat[:, [w]] >> np.arange(64, dtype=np.uint64)) & np.uint64(1) for w in range(len(words))], axis=1).astype(np.uint8)
+                for j, piece in enumerate(left(path)):
+                    value = [x.tobytes() for x in np.packbits(on[:, piece], axis=1)]
+                    yield rows.assign(path=[[*path, j]] * len(rows), value=value)[names]
+
+    return run
 
 
 def distance(words: list[str], left: str, right: str) -> Column:
@@ -359,34 +440,40 @@ def close_pairs(
 ) -> DataFrame:
     """Pairs of distinct hashes within ``max_bits`` of each other inside a group; exact.
 
-    Both sides: group, fid (unique in the group) and the hash words. Band values that more than
-    ``crowd`` hashes share are cut once more before they are joined, so no bucket yields all its
-    pairs. Returns group, a, b, bits; a and b are structs of fid, words and ``carry``.
+    Both sides: group, fid (unique in the group) and the hash words. Hashes meet that agree in a
+    band. A bucket of more than ``crowd`` hashes is cut by what its members agree in besides: all
+    other bits are cut into as many pieces again, and two hashes that are near agree in one of
+    them. This goes on, bucket by bucket, for as long as it at least halves the pairs to compare;
+    what then is still crowded is a crowd of hashes near each other. Returns group, a, b, bits; a
+    and b are structs of fid, words and ``carry``.
     """
     bits, bands = 64 * len(words), max_bits + 1
-
-    def explode(df: DataFrame, sigs: Column) -> DataFrame:
-        row = F.struct("fid", *words, *carry).alias("v")
-        return df.select(*group, row, F.explode(sigs).alias("_s")).select(*group, "v", "_s.*")
-
-    key = [*group, "band", "value"]
+    cols = [*group, "fid", *words, *carry]
     sides = [left] if same_side else [left, right]
-    plain = [explode(d, band_signatures(words, bits, bands)) for d in sides]
-    counts = plain[0].groupBy(*key).count()
-    if not same_side:
-        counts = counts.unionByName(plain[1].groupBy(*key).count()).groupBy(*key).agg(F.sum("count").alias("count"))
-    crowded = counts.filter(F.col("count") > crowd).select(*key)
-    calm = [d.join(crowded, key, "left_anti") for d in plain]
-    # Only rows found in a crowded band are cut once more, and only along that band.
-    inner = [f"v.{w}" for w in words]
-    cuts = F.explode(F.filter(_refined(inner, bits, bands), lambda s: s["band"] == F.col("band")))
-    hits = [d.join(crowded, key, "left_semi").select(*key, "v", cuts.alias("_s")) for d in plain]
-    fine = [h.select(*group, "v", "_s.*") for h in hits]
-    spread = [c.unionByName(f) for c, f in zip(calm, fine)]
-    a = spread[0].withColumnRenamed("v", "a")
-    b = spread[-1].withColumnRenamed("v", "b")
-    on = [*key, "sub"]
-    met = a.join(b, on)
+    marked = [d.select(*cols, F.lit(i).alias("side")) for i, d in enumerate(sides)]
+    rows = reduce(DataFrame.unionByName, marked).withColumn("_s", F.explode(band_signatures(words, bits, bands)))
+    rows = rows.select(*cols, "side", F.array("_s.band").alias("path"), F.xxhash64("_s.band", "_s.value").alias("sub"))
+    key, settled = [*group, "sub"], []
+    out = ", ".join([f"{c} {t}" for c, t in rows.dtypes] + ["value binary"])
+    while True:
+        rows = materialize(rows)
+        counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
+        crowded = materialize(counts.filter(F.col("n") > crowd))
+        settled.append(rows.join(crowded, key, "left_anti"))
+        if crowded.isEmpty():
+            break
+        hot = materialize(rows.join(crowded.select(*key), key, "left_semi"))
+        finer = hot.mapInPandas(_cut_finer(words, bits, bands, out), out)
+        finer = materialize(finer.withColumnRenamed("sub", "was").withColumn("sub", F.xxhash64("was", "path", "value")).drop("value"))
+        sizes = finer.groupBy(*group, "was", "sub").agg(F.count("*").alias("m")).groupBy(*group, "was").agg(F.sum(F.col("m") * F.col("m")).alias("after"))
+        pays = crowded.join(sizes.withColumnRenamed("was", "sub"), key).filter(2 * F.col("after") <= F.col("n") * F.col("n")).select(*key)
+        pays = materialize(pays)
+        settled.append(hot.join(pays, key, "left_anti"))
+        rows = finer.join(pays.withColumnRenamed("sub", "was"), [*group, "was"], "left_semi").drop("was")
+    spread = materialize(reduce(DataFrame.unionByName, settled).select(*key, "side", F.struct("fid", *words, *carry).alias("v")))
+    a = spread.filter(F.col("side") == 0).select(*key, F.col("v").alias("a"))
+    b = spread.filter(F.col("side") == len(sides) - 1).select(*key, F.col("v").alias("b"))
+    met = a.join(b, key)
     if same_side:
         met = met.filter(F.col("a.fid") < F.col("b.fid"))
     near = met.withColumn("bits", distance(words, "a", "b")).filter(F.col("bits") <= max_bits)
@@ -403,10 +490,11 @@ def near_duplicates(fp: DataFrame, max_bits: int = 12) -> tuple[DataFrame, DataF
 
     ``fp``: shot (a sortable key), h_start, h_mid, h_end. Exact copies fold into one hash first:
     the first table maps every shot to its hash, the second pairs distinct hashes by distance
-    with the number of shots behind each, so copies never multiply into pairs.
+    with the number of shots behind each, so copies never multiply into pairs. The distinct hashes
+    are stored, so that one that very many shots share is split where these meet it.
     """
     base = fp.withColumn("library", F.lit(0))
-    one = copies(base, ["library"])
+    one = materialize(copies(base, ["library"]))
     members = fp.join(one.select("fid", *WORDS), WORDS).select("shot", "fid")
     pairs = close_pairs(one, one, ["library"], WORDS, max_bits, same_side=True, carry=("n",))
     return members, pairs.select(

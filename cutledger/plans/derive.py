@@ -35,7 +35,10 @@ def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One cut per show: sequence number, frame range, slate and take of every line item."""
+    """One cut per show: sequence number, frame range, slate and take of every line item.
+
+    Written once: what is derived from it reads it several times.
+    """
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("show_id"),
         long(1).alias("cut_id"),
@@ -56,7 +59,7 @@ def edit(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"],
         blocks=[F.floor(F.col("l_orderkey") / ORDER_STEP)],
     )
-    return got.drop("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    return stored(got.drop("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"))
 
 
 def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,14 +296,34 @@ CTES: dict[str, tuple[str, str]] = {
         (SELECT *, row_number() OVER (PARTITION BY show_id, slate_n ORDER BY input_pos) AS rn FROM n3 WHERE slate_n <> 0) n JOIN
         (SELECT *, row_number() OVER (PARTITION BY show_id, slate_n ORDER BY input_pos) AS rn FROM m3 WHERE slate_n <> 0) m USING (show_id, slate_n, rn)""",
     ),
-    "matches": ("slate_ordinal", "SELECT * FROM exact UNION ALL SELECT * FROM ordinal UNION ALL SELECT * FROM slate_ordinal"),
-    "n4": ("matches", "SELECT n.* FROM new_cut n ANTI JOIN matches e ON n.show_id = e.show_id AND n.tcid = e.tcid"),
-    "m4": ("matches", "SELECT m.* FROM master m ANTI JOIN matches e ON m.show_id = e.show_id AND m.row = e.master_row"),
+    "coded": ("slate_ordinal", "SELECT * FROM exact UNION ALL SELECT * FROM ordinal UNION ALL SELECT * FROM slate_ordinal"),
+    "n4": ("coded", "SELECT n.* FROM new_cut n ANTI JOIN coded e ON n.show_id = e.show_id AND n.tcid = e.tcid"),
+    "m4": ("coded", "SELECT m.* FROM master m ANTI JOIN coded e ON m.show_id = e.show_id AND m.row = e.master_row"),
+    # Each shot without a slate lists the rows left, best first; then one after the other takes the
+    # first that none before it took.
+    "pictures": ("", "SELECT vec_id, embedding AS v, sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) for x in embedding])) AS norm, count(*) OVER () AS n FROM embeddings"),
+    "lists": (
+        "n4 m4 pictures",
+        """SELECT show_id, nth, any_value(tcid) AS tcid, list(row ORDER BY score DESC, row) AS rows FROM (
+        SELECT a.show_id, a.nth, a.tcid, b.row, round(list_sum([CAST(a.v[i] AS DOUBLE) * CAST(b.v[i] AS DOUBLE) for i in range(1, 65)]) / (a.norm * b.norm), 12) AS score FROM
+        (SELECT *, row_number() OVER (PARTITION BY show_id ORDER BY input_pos) AS nth FROM n4 JOIN pictures ON vec_id = (show_id * 37 + input_pos * 11) % n WHERE slate_n = 0) a
+        JOIN (SELECT * FROM m4 JOIN pictures ON vec_id = (show_id * 37 + input_pos * 11) % n) b USING (show_id)) GROUP BY show_id, nth""",
+    ),
+    "visual": (
+        "lists",
+        """SELECT t.show_id, t.tcid, m.row AS master_row, m.code AS master_code, 'VISUAL' AS tier FROM (
+        WITH RECURSIVE turns AS (SELECT DISTINCT show_id, CAST(0 AS BIGINT) AS nth, '' AS tcid, CAST([] AS BIGINT[]) AS used FROM lists UNION ALL
+        SELECT l.show_id, l.nth, l.tcid, list_append(t.used, list_filter(l.rows, lambda x: NOT list_contains(t.used, x))[1]) FROM turns t JOIN lists l ON l.show_id = t.show_id AND l.nth = t.nth + 1)
+        SELECT show_id, tcid, used[-1] AS row FROM turns WHERE nth > 0) t JOIN master m ON m.show_id = t.show_id AND m.row = t.row""",
+    ),
+    "matches": ("visual", "SELECT * FROM coded UNION ALL SELECT * FROM visual"),
+    "n5": ("matches", "SELECT n.* FROM n4 n ANTI JOIN matches e ON n.show_id = e.show_id AND n.tcid = e.tcid"),
+    "m5": ("matches", "SELECT m.* FROM m4 m ANTI JOIN matches e ON m.show_id = e.show_id AND m.row = e.master_row"),
     "leftovers": (
-        "n4",
-        "SELECT n.show_id, n.tcid, n.code, n.slate_n, CASE WHEN EXISTS (SELECT 1 FROM master m WHERE m.show_id = n.show_id AND m.slate_n = n.slate_n) THEN 'EXTRA' ELSE 'NEW' END AS tier FROM n4 n",
+        "n5",
+        "SELECT n.show_id, n.tcid, n.code, n.slate_n, CASE WHEN k.slate_n IS NULL THEN 'NEW' ELSE 'EXTRA' END AS tier FROM n5 n LEFT JOIN (SELECT DISTINCT show_id, slate_n FROM master) k ON k.show_id = n.show_id AND k.slate_n = n.slate_n",
     ),
-    "omits": ("m4", "SELECT show_id, row FROM m4 WHERE revision = ''"),
+    "omits": ("m5", "SELECT show_id, row FROM m5 WHERE revision = ''"),
     "reads": (
         "edit",
         """SELECT show_id, cut_id, lpad(CAST(seq AS VARCHAR), 8, '0') AS tcid, seq, pi, (seq + pi) % 11 AS k,

@@ -36,29 +36,35 @@ def c03(spark, sf):
     return A.ordinal(*A.unclaimed(new, master, found), with_take=False)
 
 
+def _vectors(spark, sf, side, key):
+    """A picture per row: its place among the embeddings of the library."""
+    e = d.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    at = F.pmod(F.col("show_id") * 37 + F.col("input_pos") * 11, F.lit(e.count()))
+    return side.withColumn("vec_id", at).join(e, "vec_id").select("show_id", key, "vec")
+
+
+def _assigned(spark, sf):
+    """Both sides, and all four tiers over them: matches, leftovers, omits."""
+    new, master = _sides(spark, sf)
+    return new, master, A.assign(new, master, vectors=(_vectors(spark, sf, new, "tcid"), _vectors(spark, sf, master, "row")))
+
+
 @query("c05_assignment", sql("matches", f"SELECT {M} FROM matches"))
 def c05(spark, sf):
-    return A.assign(*_sides(spark, sf))[0].select("show_id", "tcid", "master_row", "master_code", "tier")
+    return _assigned(spark, sf)[2][0].select("show_id", "tcid", "master_row", "master_code", "tier")
 
 
 @query("c06_leftovers", sql("leftovers", "SELECT show_id, tcid, tier FROM leftovers"))
 def c06(spark, sf):
-    return A.assign(*_sides(spark, sf))[1]
+    return _assigned(spark, sf)[2][1]
 
 
 @query("c07_omits", sql("omits", "SELECT show_id, row FROM omits"))
 def c07(spark, sf):
-    return A.assign(*_sides(spark, sf))[2]
+    return _assigned(spark, sf)[2][2]
 
 
-def _vectors(spark, sf, side, key):
-    """A picture per row: its place among the embeddings of the library."""
-    e = d.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    at = F.pmod(F.col("show_id") * 37 + F.col("input_pos") * 11, F.lit(e.count()))
-    return side.withColumn("vec_id", at).join(e, "vec_id").select("show_id", key, "vec")
-
-
-@query("c04_visual_choice")
+@query("c04_visual_choice", sql("visual", f"SELECT {M} FROM visual"))
 def c04(spark, sf):
     """Shots without a slate pick from the rows that the coded tiers left."""
     new, master = _sides(spark, sf)
@@ -71,13 +77,13 @@ def c04(spark, sf):
     "c17_leftover_crosscheck",
     sql(
         "leftovers",
-        """SELECT show_id, tcid, tier, CASE WHEN EXISTS (SELECT 1 FROM master m WHERE m.show_id = l.show_id AND m.code = l.code) THEN 'engine-missed-exact-code'
-        WHEN tier = 'EXTRA' THEN 'counter-drift-candidate' ELSE 'genuinely-new' END AS note FROM leftovers l""",
+        """SELECT l.show_id, l.tcid, l.tier, CASE WHEN m.code IS NOT NULL THEN 'engine-missed-exact-code'
+        WHEN l.tier = 'EXTRA' THEN 'counter-drift-candidate' ELSE 'genuinely-new' END AS note FROM leftovers l LEFT JOIN (SELECT DISTINCT show_id, code FROM master) m ON m.show_id = l.show_id AND m.code = l.code""",
     ),
 )
 def c17(spark, sf):
-    new, master = _sides(spark, sf)
-    return A.crosscheck(A.assign(new, master)[1], new, master)
+    new, master, (_, left, _) = _assigned(spark, sf)
+    return A.crosscheck(left, new, master)
 
 
 @query(
@@ -89,7 +95,7 @@ def c17(spark, sf):
     ),
 )
 def d01(spark, sf):
-    found, left, _ = A.assign(*_sides(spark, sf))
+    found, left, _ = _assigned(spark, sf)[2]
     return diff.tally(found.select("show_id", "tier").unionByName(left.select("show_id", "tier")), ["show_id"], "tier", A.TIERS)
 
 
@@ -101,7 +107,7 @@ def d01(spark, sf):
     ),
 )
 def d01r(spark, sf):
-    found, left, _ = A.assign(*_sides(spark, sf))
+    found, left, _ = _assigned(spark, sf)[2]
     both = found.select("show_id", "tier").unionByName(left.select("show_id", "tier"))
     return both.rollup("show_id", "tier").agg(F.count("*").alias("n"))
 
@@ -137,8 +143,7 @@ def d06(spark, sf):
     ),
 )
 def i08(spark, sf):
-    new, master = _sides(spark, sf)
-    found, left, _ = A.assign(new, master)
+    new, master, (found, left, _) = _assigned(spark, sf)
     noted = A.crosscheck(left, new, master)
     return A.stage_review(found, noted, new.select("show_id", "tcid"))
 
@@ -193,7 +198,7 @@ def g02(spark, sf):
 )
 def m03(spark, sf):
     """Confirmed: the shot whose master row came from the same line item."""
-    new, master = _sides(spark, sf)
+    new, master, (found, _, _) = _assigned(spark, sf)
     truth = new.join(master.select("show_id", F.col("row").alias("input_pos"), F.col("row").alias("master_row")), ["show_id", "input_pos"])
-    got = audit.score_matches(A.assign(new, master)[0], truth.select("show_id", "tcid", "master_row"))
+    got = audit.score_matches(found, truth.select("show_id", "tcid", "master_row"))
     return got.withColumn("share_agreed", F.round("share_agreed", 6))

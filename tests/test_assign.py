@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from cutledger.operators import assign as A
@@ -149,3 +150,50 @@ def test_empty_visual(spark):
     n, m = tables(spark, [("a", "X_1_1_10")], [(1, "X_1_1_10", "")])
     s = spark.createDataFrame([], "show_id bigint, tcid string, row bigint, score double")
     assert A.visual(n, m, s).collect() == []
+
+
+def vector_tables(spark, new, master, va, vb):
+    a = spark.createDataFrame([(1, t, v.tolist()) for (t, _), v in zip(new, va)], "show_id bigint, tcid string, vec array<double>")
+    b = spark.createDataFrame([(1, r, v.tolist()) for (r, _, _), v in zip(master, vb)], "show_id bigint, row bigint, vec array<double>")
+    s = (va / np.linalg.norm(va, axis=1, keepdims=True)) @ (vb / np.linalg.norm(vb, axis=1, keepdims=True)).T
+    sim = {(t, r): round(float(s[i, j]), 12) for i, (t, _) in enumerate(new) for j, (r, _, _) in enumerate(master)}
+    return a, b, sim
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_four_tiers_with_vectors(spark, seed):
+    rng, gen = random.Random(seed), np.random.default_rng(seed)
+    code = lambda: rng.choice(["", "tmp"]) if rng.random() < 0.6 else f"SHW_{rng.randrange(3):04d}_{rng.randrange(1, 3):02d}_{rng.randrange(1, 6) * 10:03d}"
+    new = [(f"t{i:03d}", code()) for i in range(60)]
+    master = [(i + 3, code(), "") for i in range(45)]
+    looks = gen.normal(size=(9, 6))
+    # Crowds of equal pictures on both sides, and some of their own.
+    va = np.array([looks[rng.randrange(9)] if rng.random() < 0.7 else gen.normal(size=6) for _ in new])
+    vb = np.array([looks[rng.randrange(9)] if rng.random() < 0.7 else gen.normal(size=6) for _ in master])
+    a, b, sim = vector_tables(spark, new, master, va, vb)
+    n, m = tables(spark, new, master)
+    found, left, omit = A.assign(n, m, vectors=(a, b))
+    want, taken = loop(new, master, sim)
+    assert as_dict(found) == want and {t for _, t in want.values()} >= {"EXACT-CODE", "VISUAL"}
+    assert {r["tcid"] for r in left.collect()} == {t for t, _ in new} - set(want)
+    assert {r["row"] for r in omit.collect()} == {r for r, _, _ in master} - taken
+
+
+def test_rounds_do_not_grow_with_the_group(spark, caplog):
+    """Shots that look like one master each, and a crowd of equal ones, take few rounds at any number."""
+    gen = np.random.default_rng(8)
+    took = []
+    for size in (300, 1200):
+        looks = gen.normal(size=(size, 16))
+        looks[: size // 3] = looks[0]
+        new = [(f"t{i:05d}", "tmp") for i in range(size)]
+        master = [(i, "", "") for i in range(size)]
+        order = gen.permutation(size)
+        n, m = tables(spark, new, master)
+        a, b, sim = vector_tables(spark, new, master, looks + 0, looks[order])
+        caplog.clear()
+        with caplog.at_level("INFO", logger="cutledger.operators.choice"):
+            got = as_dict(A.visual_by_vector(n, m, a, b, block=16))
+        took.append(len([r for r in caplog.records if "open" in r.message]))
+        assert got == loop(new, master, sim)[0]
+    assert max(took) <= 4
