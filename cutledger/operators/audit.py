@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutledger.functions import grammar as g
@@ -75,22 +78,34 @@ def score_reads(reads: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _matched(starts: str, tol: int) -> Column:
-    """Pairs along a run: free starts of one side wait, the next of the other side takes the first."""
-    none = F.array().cast("array<bigint>")
-    zero = F.struct(none.alias("free"), F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("n"))
-
-    def step(acc: Column, x: Column) -> Column:
-        near = F.filter(acc["free"], lambda p: p >= x["at"] - tol)
-        takes = (acc["side"] != x["side"]) & (F.size(near) > 0)
-        waits = F.when(acc["side"] == x["side"], near).otherwise(none)
-        return F.struct(
-            F.when(takes, F.slice(near, 2, F.size(near))).otherwise(F.concat(waits, F.array(x["at"]))).alias("free"),
-            F.when(takes, acc["side"]).otherwise(x["side"]).alias("side"),
-            (acc["n"] + F.when(takes, 1).otherwise(0)).alias("n"),
-        )
-
-    return F.aggregate(starts, zero, step, lambda acc: acc["n"])
+def _match_runs(tol: int):
+    """Hits of every run, from its sorted starts: free starts of one side wait in a queue, and the
+    next one of the other side takes the first that is near enough. No more starts wait than fit
+    into the tolerance."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, free, waiting, n = None, deque(), 0, 0
+        for pdf in batches:
+            out = []
+            for show, cut, at_run, at, side in pdf.itertuples(index=False, name=None):
+                if (show, cut, at_run) != key:
+                    if n:
+                        out.append((*key[:2], n))
+                    key, waiting, n = (show, cut, at_run), side, 0
+                    free.clear()
+                while free and free[0] < at - tol:
+                    free.popleft()
+                if side != waiting and free:
+                    free.popleft()
+                    n += 1
+                    continue
+                waiting = side if not free else waiting
+                free.append(at)
+            yield pd.DataFrame(out, columns=[*K, "n"])
+        if n:
+            yield pd.DataFrame([(*key[:2], n)], columns=[*K, "n"])
+
+    return run
 
 
 def score_boundaries(shots: DataFrame, truth: DataFrame, tol_frames: int = 0) -> DataFrame:
@@ -99,6 +114,7 @@ def score_boundaries(shots: DataFrame, truth: DataFrame, tol_frames: int = 0) ->
     As many starts are matched as can be. Starts further apart than the tolerance never meet, so a
     cut falls into runs of starts that follow each other closely, and each run is settled by itself:
     along it a start takes the earliest one of the other side that is still free and near enough.
+    Runs are dealt to tasks and read in order, so one of any length takes no memory.
     """
     d = shots.select(*K, F.col("start_frame").alias("d")).distinct()
     t = truth.select(*K, F.col("start_frame").alias("t")).distinct()
@@ -107,8 +123,9 @@ def score_boundaries(shots: DataFrame, truth: DataFrame, tol_frames: int = 0) ->
     breaks = F.when(F.col("at") - F.col("_p.at") <= tol_frames, 0).otherwise(1).cast("bigint")
     one = one.withColumn("_break", breaks).drop("_p")
     one = ordered.running(one, K, ["at", "side"], {"_run": F.col("_break")}).withColumn("_run", F.col("_run") + F.col("_break"))
-    runs = one.groupBy(*K, "_run").agg(F.sort_array(F.collect_list(F.struct("at", "side"))).alias("starts"), F.count_distinct("side").alias("_sides"))
-    hits = runs.filter("_sides = 2").select(*K, _matched("starts", tol_frames).alias("n")).groupBy(*K).agg(F.sum("n").alias("n_hit"))
+    runs = [*K, "_run"]
+    laid = one.select(*runs, "at", "side").repartition(*runs).sortWithinPartitions(*runs, "at", "side")
+    hits = laid.mapInPandas(_match_runs(tol_frames), "show_id bigint, cut_id bigint, n bigint").groupBy(*K).agg(F.sum("n").alias("n_hit"))
     nd, nt = d.groupBy(*K).agg(F.count("*").alias("n_detected")), t.groupBy(*K).agg(F.count("*").alias("n_truth"))
     both = nd.join(nt, K, "full_outer").join(hits, K, "left").na.fill(0, ["n_detected", "n_truth", "n_hit"])
     return both.select(

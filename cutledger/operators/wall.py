@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutledger.functions import grammar as g
@@ -174,59 +176,89 @@ def grid(shots: DataFrame, canvas: tuple[int, int] = (7680, 4320), aspect: float
     )
 
 
-WALK_BLOCK = 4096
+WALK_ROWS = 1 << 17
+_WALKED = "show_id bigint, cut_id bigint, _blk bigint, code string, order bigint, column bigint, sum array<double>, n bigint"
+
+
+def _walk(threshold: float):
+    """Columns along sorted rows of (cut, range); one row more per range says how it ends.
 
+    A row with ``n`` is what the range before hands on: sum and number of its last column.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, total, n, col = None, None, 0, 0
+        for pdf in batches:
+            out = []
+            for *now, code, order, vec, given in pdf.itertuples(index=False, name=None):
+                if now != key:
+                    if key is not None:
+                        out.append((*key, None, None, col, total.tolist(), n))
+                    key, total, n, col = now, None, 0, 0
+                v = np.asarray(vec, float)
+                if given > 0:
+                    total, n = v.copy(), int(given)
+                    continue
+                if total is None:
+                    total, n = v.copy(), 1
+                else:
+                    mean = total / n
+                    size = (np.linalg.norm(mean) or 1.0) * (np.linalg.norm(v) or 1.0)
+                    if float(mean @ v) / size >= threshold:
+                        total, n = total + v, n + 1
+                    else:
+                        col, total, n = col + 1, v.copy(), 1
+                out.append((*key, code, order, col, None, None))
+            yield _frame(out)
+        if key is not None:
+            yield _frame([(*key, None, None, col, total.tolist(), n)])
 
-def walk(vectors: DataFrame, threshold: float = 0.75, block: int = WALK_BLOCK) -> DataFrame:
+    def _frame(rows: list) -> pd.DataFrame:
+        got = pd.DataFrame(rows, columns=[c.split()[0] for c in _WALKED.split(", ")])
+        return got.astype({"order": "Int64", "n": "Int64"})
+
+    return run
+
+
+def walk(vectors: DataFrame, threshold: float = 0.75, rows: int = WALK_ROWS) -> DataFrame:
     """Columns of consecutive similar shots: show_id, cut_id, code, order, column.
 
     A shot stays in the column while its cosine to the column's mean is at least ``threshold``.
-    The walk depends on what came before, so it runs block by block along a cut: one round moves
-    every cut on by ``block`` shots and hands column number, vector sum and count to the next.
     ``vectors``: show_id, cut_id, code, order, vec. Orders need not be dense.
+
+    Cuts are dealt to tasks and walked in one pass that holds one vector. A cut longer than
+    ``rows`` is dealt in ranges, which are walked at once as if each began a column, and then again
+    from what the range before hands on. Two walks agree from the first column on that both begin
+    at the same shot, so a range mostly ends as it did before; only where it does not, the range
+    after it is walked again. Where no column ends within whole ranges, they take turns.
     """
-    rows = materialize(vectors.withColumn("_blk", F.floor(F.col("order") / block).cast("bigint")))
-    last = rows.agg(F.max("_blk")).first()[0]
-    empty = "show_id bigint, cut_id bigint, column bigint, sum array<double>, n bigint"
-    out_schema = "show_id bigint, cut_id bigint, code string, order bigint, column bigint, sum array<double>, n bigint"
-
-    def step(key, now: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        col, total, n = 0, None, 0
-        if len(before):
-            col, total, n = int(before["column"][0]), np.asarray(before["sum"][0], float), int(before["n"][0])
-        now = now.sort_values("order")
-        cols = []
-        for v in now["vec"]:
-            v = np.asarray(v, float)
-            if total is None:
-                total, n = v.copy(), 1
-            else:
-                mean = total / n
-                size = (np.linalg.norm(mean) or 1.0) * (np.linalg.norm(v) or 1.0)
-                if float(mean @ v) / size >= threshold:
-                    total, n = total + v, n + 1
-                else:
-                    col, total, n = col + 1, v.copy(), 1
-            cols.append(col)
-        got = pd.DataFrame(
-            {"show_id": key[0], "cut_id": key[1], "code": now["code"], "order": now["order"], "column": cols}
-        )
-        got["sum"], got["n"] = None, None
-        # A cut without a row in this block hands on what it was given.
-        carry = {"show_id": key[0], "cut_id": key[1], "code": None, "order": -1, "column": col, "sum": total, "n": n}
-        return pd.concat([got, pd.DataFrame([carry])], ignore_index=True)
-
-    state = vectors.sparkSession.createDataFrame([], empty)
-    done = None
-    for b in range(int(last or 0) + 1 if last is not None else 0):
-        part = rows.filter(F.col("_blk") == b).drop("_blk")
-        got = materialize(part.groupBy(*K).cogroup(state.groupBy(*K)).applyInPandas(step, out_schema))
-        state = got.filter(F.col("order") == -1).select(*K, "column", "sum", "n")
-        piece = got.filter(F.col("order") >= 0).select(*K, "code", "order", "column")
-        done = piece if done is None else done.unionByName(piece)
-    if done is None:
-        return vectors.select(*K, "code", "order").withColumn("column", F.lit(0).cast("bigint"))
-    return done
+    dealt = vectors.select(*K, F.floor(F.col("order") / rows).cast("bigint").alias("_blk"), "code", "order", "vec", F.lit(0).cast("bigint").alias("given"))
+    dealt = materialize(dealt.withColumn("vec", F.col("vec").cast("array<double>")))
+    ranges = [*K, "_blk"]
+
+    def pass_over(these: DataFrame) -> DataFrame:
+        laid = these.repartition(*ranges).sortWithinPartitions(*ranges, F.desc(F.col("given") > 0), "order")
+        return materialize(laid.mapInPandas(_walk(threshold), _WALKED))
+
+    walked = pass_over(dealt)
+    ends = walked.filter(F.col("order").isNull()).select(*ranges, "column", "sum", "n")
+    before = Window.partitionBy(*K).orderBy("_blk")
+    chain = materialize(ends.withColumn("_from", F.lag("_blk").over(before)).select(*ranges, "_from"))
+    todo = chain.filter(F.col("_from").isNotNull())
+    while todo.limit(1).count():
+        given = todo.join(ends.select(*K, F.col("_blk").alias("_from"), "sum", "n"), [*K, "_from"])
+        given = given.select(*ranges, F.lit(None).cast("string").alias("code"), F.lit(None).cast("bigint").alias("order"), F.col("sum").alias("vec"), F.col("n").alias("given"))
+        again = pass_over(dealt.join(todo.select(*ranges), ranges, "left_semi").unionByName(given))
+        new_ends = again.filter(F.col("order").isNull()).select(*ranges, "column", "sum", "n")
+        other = new_ends.join(ends.select(*ranges, F.col("sum").alias("_sum"), F.col("n").alias("_n")), ranges).filter((F.col("sum") != F.col("_sum")) | (F.col("n") != F.col("_n")))
+        walked = walked.join(todo.select(*ranges), ranges, "left_anti").unionByName(again)
+        ends = materialize(walked.filter(F.col("order").isNull()).select(*ranges, "column", "sum", "n"))
+        todo = materialize(chain.join(other.select(*K, F.col("_blk").alias("_from")), [*K, "_from"]).select(*ranges, "_from"))
+    # A range counts its columns from the one it was given; those before it come on top.
+    earlier = F.coalesce(F.sum("column").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier")
+    moved = ends.select(*ranges, earlier).filter(F.col("_earlier") > 0)
+    shots = walked.filter(F.col("order").isNotNull()).join(moved, ranges, "left")
+    return shots.select(*K, "code", "order", (F.col("column") + F.coalesce("_earlier", F.lit(0))).alias("column"))
 
 
 def columns(shots: DataFrame, vectors: DataFrame, exclude: list[str] = ("ONLINE",), threshold: float = 0.75) -> DataFrame:

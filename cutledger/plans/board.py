@@ -257,7 +257,17 @@ def i11(spark, sf):
     return scrub.clear(cells, rules, titles, ["T2"])
 
 
-@query("e11_similarity_walk")
+# A walk keeps the number of the column, the sum of its vectors and their count.
+_WALK = """WITH RECURSIVE walk AS (SELECT show_id, code, place, CAST(0 AS BIGINT) AS col, CAST(v AS DOUBLE[]) AS s, 1 AS n FROM rows WHERE place = 0 UNION ALL
+    SELECT show_id, code, place, CASE WHEN keep THEN col ELSE col + 1 END, CASE WHEN keep THEN [s[i] + v[i] for i in range(1, 65)] ELSE CAST(v AS DOUBLE[]) END, CASE WHEN keep THEN n + 1 ELSE 1 END FROM (
+    SELECT r.show_id, r.code, r.place, r.v, w.col, w.s, w.n, list_sum([w.s[i] * r.v[i] for i in range(1, 65)]) / (sqrt(list_sum([x * x for x in w.s])) * sqrt(list_sum([CAST(x AS DOUBLE) * x for x in r.v]))) >= 0.3 AS keep
+    FROM walk w JOIN rows r ON r.show_id = w.show_id AND r.place = w.place + 1))
+    SELECT show_id, CAST(1 AS BIGINT) AS cut_id, code, place AS "order", col AS "column" FROM walk"""
+d.CTES["walked"] = ("", _WALK.replace("WITH RECURSIVE", "WITH RECURSIVE rows AS (SELECT CAST(label AS BIGINT) AS show_id, CAST(vec_id AS VARCHAR) AS code, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place, embedding AS v FROM embeddings),", 1))
+d.CTES["walked_vfx"] = ("", d.CTES["walked"][1].replace("FROM embeddings", "FROM embeddings WHERE NOT coalesce(embedding[3] > 0.2, FALSE)", 1))
+
+
+@query("e11_similarity_walk", sql("walked", "SELECT * FROM walked"))
 def e11(spark, sf):
     """Columns of each label's pictures in order of their ids."""
     e = d.table(spark, sf, "embeddings").select(
@@ -267,7 +277,15 @@ def e11(spark, sf):
     return wall.walk(e.drop("vec_id"), 0.3)
 
 
-@query("j05_similarity_columns")
+@query(
+    "j05_similarity_columns",
+    sql(
+        "walked_vfx",
+        """SELECT * FROM walked_vfx UNION ALL SELECT show_id, 1, code, place, coalesce(last + 1, 0) FROM (
+        SELECT CAST(label AS BIGINT) AS show_id, CAST(vec_id AS VARCHAR) AS code, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place FROM embeddings WHERE embedding[3] > 0.2)
+        LEFT JOIN (SELECT show_id, max("column") AS last FROM walked_vfx GROUP BY show_id) USING (show_id)""",
+    ),
+)
 def j05(spark, sf):
     e = d.table(spark, sf, "embeddings").select(
         F.col("label").cast("bigint").alias("show_id"), F.lit(1).cast("bigint").alias("cut_id"), F.col("vec_id").cast("string").alias("code"), F.col("vec_id").alias("seq"),
