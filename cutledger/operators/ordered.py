@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutledger.session import materialize
+
 BLOCK_ROWS = 65536
 
 
@@ -101,28 +103,25 @@ def ordinal_by(
 ) -> DataFrame:
     """Row number along (lead, pos), where any one lead value may itself be hot.
 
-    Groups of more than ``limit`` rows are cut, by lead value and then by position, so equal lead
-    values of any number are spread as well; smaller ones stay whole. One plan serves all sizes and
-    no job runs while it is built. ``pos_block`` is the block
-    of a position that is not a number, such as the head of a code.
+    A count by key finds groups of more than ``limit`` rows. Where there is none, a plain window
+    numbers all; else the rows of the crowded groups are cut, by lead value and then by position,
+    so equal lead values of any number are spread as well. ``pos_block`` is the block of a position
+    that is not a number, such as the head of a code.
     """
     keys = list(keys)
-    big = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys, F.lit(True).alias("_big"))
-    tagged = df.join(big, keys, "left")
-    cut = F.coalesce(F.col("_big"), F.lit(False))
-    inner, none = (block(pos), F.lit(0).cast("bigint")) if pos_block is None else (pos_block, F.lit(""))
+    crowded = materialize(df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys))
+    calm = lambda rows: rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(lead, pos)).cast("bigint"))
+    if crowded.isEmpty():
+        return calm(df)
     got = ordinal(
-        tagged,
+        df.join(crowded, keys, "left_semi"),
         keys,
         [lead, pos],
         name,
-        blocks=[
-            F.when(cut, F.col(lead)).otherwise(F.lit(0)).cast("bigint"),
-            F.when(cut, inner).otherwise(none),
-        ],
+        blocks=[F.col(lead).cast("bigint"), block(pos) if pos_block is None else pos_block],
         outer=F.floor(F.col("_b0") / F.lit(lead_step)).cast("bigint"),
     )
-    return got.drop("_big")
+    return got.unionByName(calm(df.join(crowded, keys, "left_anti")))
 
 
 def neighbour(

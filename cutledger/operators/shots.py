@@ -5,12 +5,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutledger.functions import timecode as tc
 from cutledger.operators import ordered
 from cutledger.schema import POSITIONS
+from cutledger.session import materialize
 
 K = ["show_id", "cut_id"]
 
@@ -145,127 +146,114 @@ def split(shots: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame,
 
     ``decisions``: show_id, cut_id, tcid, at_frame. All points of a shot apply at once, each must
     lie strictly inside it, and no new key may collide with a shot of the cut or another piece.
-    A shot with any bad point is left whole and rejected.
+    A shot with any bad point is left whole and rejected. ``shots`` has one row per tcid of a cut.
+
+    Shots and points meet in one grouping by key, every shot then gives its pieces, and two windows
+    settle them: pieces of one key, and pieces of one shot. What comes out is stored once and holds
+    table, changes and rejects.
     """
-    at = F.col("at_frame").cast("bigint")
-    known = shots.withColumn("_found", F.lit(True))
-    placed = decisions.select(*K, "tcid", at.alias("at_frame")).join(
-        known.select(*K, "tcid", "_found", "len_frames"), [*K, "tcid"], "left"
-    )
-    inside = (F.col("at_frame") > 0) & (F.col("at_frame") < F.col("len_frames"))
-    # Only points inside the shot are collected, so an array never outgrows the shot's frames.
-    points = placed.groupBy(*K, "tcid").agg(
-        F.max(F.col("_found")).alias("_found"),
-        F.bool_or(F.coalesce(~inside, F.lit(False))).alias("_outside"),
-        F.array_sort(F.collect_set(F.when(inside, F.col("at_frame")))).alias("points"),
+    cols = ["start_frame", "end_frame", "len_frames", "fps"]
+    none = F.lit(None)
+    known = shots.select(*K, "tcid", F.struct(*cols).alias("shot"), none.cast("bigint").alias("at_frame"), F.lit(False).alias("asked"))
+    asked = decisions.select(*K, "tcid", none.cast(known.schema["shot"].dataType).alias("shot"), F.col("at_frame").cast("bigint").alias("at_frame"), F.lit(True).alias("asked"))
+    met = known.unionByName(asked).groupBy(*K, "tcid").agg(
+        F.max("shot").alias("shot"), F.bool_or("asked").alias("asked"), F.array_sort(F.collect_set("at_frame")).alias("points")
     )
-    why = (
-        F.when(F.col("_found").isNull(), F.lit("shot not found"))
-        .when(F.col("_outside"), F.lit("split point outside shot"))
-        .when(F.size("points") == 0, F.lit("no split point"))
+    inside = lambda p: (p > 0) & (p < F.col("shot.len_frames"))
+    why = F.when(
+        F.col("asked"),
+        F.when(F.col("shot").isNull(), F.lit("shot not found"))
+        .when(~F.forall("points", inside), F.lit("split point outside shot"))
+        .when(F.size("points") == 0, F.lit("no split point")),
     )
-    judged = points.withColumn("reason", why).join(
-        shots.select(*K, "tcid", "start_frame", "len_frames", "fps"), [*K, "tcid"], "left"
-    )
-    bounds = F.concat(F.array(F.lit(0).cast("bigint")), F.col("points"), F.array(F.col("len_frames")))
-    pieces = (
-        judged.filter(F.col("reason").isNull())
-        .withColumn("_b", bounds)
-        .withColumn(
-            "_p",
-            F.explode(
-                F.transform(
-                    F.slice("_b", F.lit(1), F.size("_b") - 1),
-                    lambda b, i: F.struct(i.alias("n"), b.alias("a"), F.get(F.col("_b"), i + 1).alias("b")),
-                )
-            ),
-        )
-        .withColumn("new_start", F.col("start_frame") + F.col("_p.a"))
-        .withColumn(
-            "new_tcid",
-            F.when(F.col("_p.n") == 0, F.col("tcid")).otherwise(tc.tcid_from_frames(F.col("new_start") - 1, "fps")),
+    judged = met.withColumn("reason", why)
+    # A shot that is not asked for, or badly, is one piece, its whole.
+    cuts = F.when(F.col("reason").isNull(), F.col("points")).otherwise(F.array().cast("array<bigint>"))
+    bounds = F.concat(F.array(F.lit(0).cast("bigint")), cuts, F.array(F.col("shot.len_frames")))
+    piece = F.transform(F.slice("_b", F.lit(1), F.size("_b") - 1), lambda b, i: F.struct(i.alias("n"), b.alias("a"), F.get(F.col("_b"), i + 1).alias("b")))
+    pieces = judged.withColumn("_b", bounds).select("*", F.explode(piece).alias("p")).withColumn("new_start", F.col("shot.start_frame") + F.col("p.a"))
+    new_key = F.when(F.col("p.n") > 0, tc.tcid_from_frames(F.col("new_start") - 1, "shot.fps")).otherwise(F.col("tcid"))
+    # A point beside any shot holds no key: its own name goes with a sign that no key begins with.
+    held = F.when(F.col("shot").isNull(), F.concat(F.lit("?"), "tcid")).otherwise(new_key)
+    pieces = pieces.withColumns({"new_tcid": new_key, "_held": held})
+    clash = (F.count("*").over(Window.partitionBy(*K, "_held")) > 1) & (F.col("p.n") > 0)
+    pieces = pieces.withColumn("_clash", clash)
+    pieces = pieces.withColumn("_bad", F.max("_clash").over(Window.partitionBy(*K, "tcid"))).filter((F.col("p.n") == 0) | ~F.col("_bad"))
+    whole = F.col("_bad") | F.col("reason").isNotNull() | (F.size("points") == 0)
+    settled = materialize(
+        pieces.select(
+            *K,
+            F.col("tcid").alias("from_tcid"),
+            F.col("new_tcid").alias("tcid"),
+            F.when(~whole, F.col("p.n").cast("bigint")).alias("piece"),
+            F.col("new_start").alias("start_frame"),
+            F.when(whole, F.col("shot.end_frame")).otherwise(F.col("shot.start_frame") + F.col("p.b") - 1).alias("end_frame"),
+            F.when(whole, F.col("shot.len_frames")).otherwise(F.col("p.b") - F.col("p.a")).alias("len_frames"),
+            F.col("shot.fps").alias("fps"),
+            F.when(F.col("_bad"), F.lit("new key exists")).otherwise(F.col("reason")).alias("reason"),
         )
     )
-    # A piece key that an existing shot or another piece already holds.
-    taken = shots.select(*K, F.col("tcid").alias("new_tcid"), F.col("tcid").alias("_owner"))
-    new_keys = pieces.filter(F.col("_p.n") > 0).select(*K, "tcid", "new_tcid")
-    held = new_keys.join(taken, [*K, "new_tcid"], "left_semi").select(*K, "tcid")
-    many = new_keys.groupBy(*K, "new_tcid").count().filter(F.col("count") > 1)
-    twice = new_keys.join(many, [*K, "new_tcid"], "left_semi").select(*K, "tcid")
-    clash = held.unionByName(twice).distinct()
-    good = pieces.join(clash, [*K, "tcid"], "left_anti")
-    rejects = (
-        judged.filter(F.col("reason").isNotNull())
-        .select(*K, "tcid", "reason")
-        .unionByName(clash.select(*K, "tcid", F.lit("new key exists").alias("reason")))
-    )
-    changes = good.select(
-        *K,
-        F.col("tcid").alias("from_tcid"),
-        F.col("new_tcid").alias("tcid"),
-        F.col("_p.n").cast("bigint").alias("piece"),
-        F.col("new_start").alias("start_frame"),
-        (F.col("start_frame") + F.col("_p.b") - 1).alias("end_frame"),
-        (F.col("_p.b") - F.col("_p.a")).alias("len_frames"),
-        "fps",
-    )
-    touched = changes.select(*K, F.col("from_tcid").alias("tcid")).distinct()
-    kept = shots.join(touched, [*K, "tcid"], "left_anti").select(*K, "start_frame", "end_frame", "len_frames", "fps", "tcid")
-    fresh = changes.select(*K, "start_frame", "end_frame", "len_frames", "fps", "tcid")
-    return renumber(kept.unionByName(fresh)), changes, rejects
+    table = settled.filter(F.col("start_frame").isNotNull()).select(*K, *cols, "tcid")
+    changes = settled.filter(F.col("piece").isNotNull()).drop("reason")
+    rejects = settled.filter(F.col("reason").isNotNull()).select(*K, "tcid", "reason")
+    return renumber(table), changes.select(*K, "from_tcid", "tcid", "piece", *cols), rejects
 
 
 def merge(shots: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Merge a shot with the directly following ones.
 
     ``decisions``: show_id, cut_id, keep_tcid, absorb_tcid. A group that is not consecutive and
-    contiguous is rejected whole. Numbers are left as they are.
+    contiguous is rejected whole. Numbers are left as they are. ``shots`` has one row per tcid of
+    a cut.
+
+    Shots and decisions meet in one grouping by key; a window over each merge then says what it
+    comes to, and the stored rows hold table, changes and rejects.
     """
-    members = (
-        decisions.select(*K, "keep_tcid", F.col("absorb_tcid").alias("tcid"))
-        .unionByName(decisions.select(*K, "keep_tcid", F.col("keep_tcid").alias("tcid")))
-        .distinct()
-    )
-    found = members.join(shots.select(*K, "tcid", "seq", "start_frame", "end_frame"), [*K, "tcid"], "left")
+    cols = ["seq", "start_frame", "end_frame", "len_frames", "tcid", "fps"]
+    known = shots.select(*K, "tcid", F.struct(*cols).alias("shot"), F.lit(None).cast(dict(shots.dtypes)["tcid"]).alias("keep"))
+    both = F.explode(F.array("keep_tcid", "absorb_tcid")).alias("tcid")
+    asked = decisions.select(*K, both, F.lit(None).cast(known.schema["shot"].dataType).alias("shot"), F.col("keep_tcid").alias("keep"))
+    met = known.unionByName(asked).groupBy(*K, "tcid").agg(F.max("shot").alias("shot"), F.sort_array(F.collect_set("keep")).alias("keeps"))
+    # A shot that no merge names is a group of its own.
+    rows = met.select(*K, "tcid", "shot", (F.size("keeps") > 1).alias("_many"), F.posexplode_outer("keeps").alias("_k", "keep"))
+    rows = rows.withColumn("_grp", F.coalesce("keep", F.concat(F.lit("?"), "tcid")))
+    w = Window.partitionBy(*K, "_grp")
     # A run of shots is consecutive and contiguous exactly when its counts and lengths add up,
     # so no ordering inside the group is needed.
-    shape = found.groupBy(*K, "keep_tcid").agg(
-        F.count("*").alias("n"),
-        F.count("seq").alias("n_found"),
-        F.min("seq").alias("seq"),
-        F.max("seq").alias("last_seq"),
-        F.min("start_frame").alias("start_frame"),
-        F.max("end_frame").alias("end_frame"),
-        F.sum(F.col("end_frame") - F.col("start_frame") + 1).alias("frames"),
-        F.min_by("tcid", "seq").alias("first_tcid"),
+    rows = rows.withColumns(
+        {
+            "n": F.count("*").over(w),
+            "_found": F.count("shot").over(w),
+            "_twice": F.max("_many").over(w),
+            "_first": F.min(F.struct("shot.seq", "tcid")).over(w),
+            "_last": F.max("shot.seq").over(w),
+            "_start": F.min("shot.start_frame").over(w),
+            "_end": F.max("shot.end_frame").over(w),
+            "_frames": F.sum(F.col("shot.end_frame") - F.col("shot.start_frame") + 1).over(w),
+        }
     )
-    shared = members.groupBy(*K, "tcid").count().filter(F.col("count") > 1)
-    twice = members.join(shared, [*K, "tcid"], "left_semi").select(*K, "keep_tcid").distinct()
-    shape = shape.join(twice.withColumn("_twice", F.lit(True)), [*K, "keep_tcid"], "left")
-    reason = (
-        F.when(F.col("n_found") < F.col("n"), F.lit("shot not found"))
+    reason = F.when(
+        F.col("keep").isNotNull(),
+        F.when(F.col("_found") < F.col("n"), F.lit("shot not found"))
         .when(F.col("_twice"), F.lit("shot in two merges"))
-        .when(F.col("first_tcid") != F.col("keep_tcid"), F.lit("not consecutive"))
-        .when(F.col("last_seq") - F.col("seq") + 1 != F.col("n"), F.lit("not consecutive"))
-        .when(F.col("end_frame") - F.col("start_frame") + 1 != F.col("frames"), F.lit("not contiguous"))
+        .when(F.col("_first.tcid") != F.col("keep"), F.lit("not consecutive"))
+        .when(F.col("_last") - F.col("_first.seq") + 1 != F.col("n"), F.lit("not consecutive"))
+        .when(F.col("_end") - F.col("_start") + 1 != F.col("_frames"), F.lit("not contiguous")),
     )
-    judged = shape.withColumn("reason", reason)
-    rejects = judged.filter(F.col("reason").isNotNull()).select(*K, F.col("keep_tcid").alias("tcid"), "reason")
-    good = judged.filter(F.col("reason").isNull())
-    changes = good.select(
-        *K,
-        F.col("keep_tcid").alias("tcid"),
-        "seq",
-        "start_frame",
-        "end_frame",
-        F.col("frames").alias("len_frames"),
-        (F.col("n") - 1).alias("absorbed"),
+    rows = rows.withColumn("reason", reason)
+    merged = F.col("keep").isNotNull() & F.col("reason").isNull()
+    # Of a good merge its first shot stays, and of every other shot one row.
+    stays = F.col("shot").isNotNull() & F.when(merged, F.col("tcid") == F.col("keep")).otherwise(F.coalesce(F.col("_k"), F.lit(0)) == 0)
+    settled = materialize(rows.select(*K, "tcid", "shot", "keep", "reason", "n", "_first", "_end", "_frames", merged.alias("_merged"), stays.alias("_stays")))
+    pick = lambda new, old: F.when(F.col("_merged"), F.col(new)).otherwise(F.col(f"shot.{old}")).alias(old)
+    table = settled.filter("_stays").select(
+        *K, "shot.seq", "shot.start_frame", pick("_end", "end_frame"), pick("_frames", "len_frames"), "tcid", "shot.fps"
+    )
+    changes = settled.filter(F.col("_merged") & F.col("_stays")).select(
+        *K, "tcid", "shot.seq", "shot.start_frame", F.col("_end").alias("end_frame"), F.col("_frames").alias("len_frames"), (F.col("n") - 1).alias("absorbed")
     )
-    gone = members.join(good.select(*K, "keep_tcid"), [*K, "keep_tcid"], "left_semi").select(*K, "tcid")
-    cols = [*K, "seq", "start_frame", "end_frame", "len_frames", "tcid", "fps"]
-    fps = shots.select(*K, "tcid", "fps")
-    merged = changes.drop("absorbed").join(fps, [*K, "tcid"]).select(*cols)
-    return shots.join(gone, [*K, "tcid"], "left_anti").select(*cols).unionByName(merged), changes, rejects
+    rejects = settled.filter(F.col("reason").isNotNull()).select(*K, F.col("keep").alias("tcid"), "reason").distinct()
+    return table, changes, rejects
 
 
 def _replay_key() -> list[Column]:
