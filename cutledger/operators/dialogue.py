@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cutledger.functions import grammar as g
 from cutledger.functions import timecode as tc
 from cutledger.operators import ordered
+from cutledger.session import materialize
 from cutledger.sources.artifacts import pending
 
 K = ["show_id", "cut_id"]
@@ -91,14 +92,17 @@ def first_heard(chunked: DataFrame, dialogue: DataFrame) -> DataFrame:
 def known_names(chunked: DataFrame, dialogue: DataFrame) -> DataFrame:
     """Names heard up to each chunk, sorted.
 
-    Names fold to their first chunk, so the only window sees one row per chunk that brings a new
-    name. All chunks find their list through the running count of such chunks.
+    Names fold to their first chunk, and the chunks of a cut that bring a new name are numbered. A
+    name then goes to its own number and all later ones, so every list is gathered by itself and a
+    cut of any length spreads by number; all chunks find their list through the running count of
+    such chunks. What is gathered is what comes out.
     """
-    fresh = first_heard(chunked, dialogue).groupBy(*K, "chunk").agg(F.collect_set("name").alias("_new"))
-    w = Window.partitionBy(*K).orderBy("chunk")
-    grown = fresh.select(
-        *K, F.row_number().over(w).cast("bigint").alias("_k"), F.array_sort(F.flatten(F.collect_list("_new").over(w))).alias("_names")
-    )
+    heard = materialize(first_heard(chunked, dialogue))
+    fresh = heard.select(*K, "chunk").distinct()
+    fresh = materialize(ordered.ordinal(fresh, K, ["chunk"], "_k"))
+    last = fresh.groupBy(*K).agg(F.max("_k").alias("_last"))
+    own = heard.join(fresh, [*K, "chunk"]).join(last, K).select(*K, "name", F.explode(F.sequence("_k", "_last")).alias("_k"))
+    grown = own.groupBy(*K, "_k").agg(F.array_sort(F.collect_list("name")).alias("_names"))
     rows = chunked.select(*K, "chunk").distinct().join(fresh.select(*K, "chunk", F.lit(1).alias("_f")), [*K, "chunk"], "left")
     own = F.coalesce("_f", F.lit(0))
     counted = ordered.running(rows, K, ["chunk"], {"_before": own})

@@ -132,7 +132,27 @@ def _captioned(spark, sf):
     )
 
 
-@query("h17_prompts")
+# Chunks of four turns, each beginning with the last of the one before.
+d.CTES["turns4"] = (
+    "",
+    """SELECT conv_id, turn, text, unnest(range(CASE WHEN r >= 4 THEN (r - 4) // 3 + 1 ELSE 0 END, 1 + least(r // 3, greatest(0, CAST(ceil((n - 4) / 3.0) AS BIGINT))))) AS chunk FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)""",
+)
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+
+
+@query(
+    "h17_prompts",
+    sql(
+        "turns4",
+        f"""SELECT show_id, CAST(1 AS BIGINT) AS cut_id, chunk, CAST(length(p) AS INTEGER) AS n_chars, md5(p) AS prompt_md5 FROM (
+        SELECT b.show_id, b.chunk, {_QUOTED(D.STORY_RULES)} || chr(10) || CASE WHEN n.names IS NULL THEN '' ELSE 'Names heard so far: ' || n.names || chr(10) END || 'Story so far: (start of the film)' || chr(10) || 'Shots:' || chr(10) || b.body || chr(10) || {_QUOTED(D.STORY_FORMAT)} AS p FROM
+        (SELECT conv_id AS show_id, chunk, string_agg('- SHW_' || lpad(CAST(turn AS VARCHAR), 8, '0') || ': turn ' || turn || CASE WHEN coalesce(text, '') <> '' THEN ' | dialogue: "' || text || '"' ELSE '' END, chr(10) ORDER BY turn) AS body FROM turns4 GROUP BY conv_id, chunk) b
+        LEFT JOIN (SELECT c.show_id, c.chunk, string_agg(f.name, ', ' ORDER BY f.name) AS names FROM (SELECT DISTINCT conv_id AS show_id, chunk FROM turns4) c JOIN (
+        SELECT conv_id AS show_id, name, min(chunk) AS chunk FROM (SELECT conv_id, chunk, {_FOUND} AS name FROM turns4) WHERE length(name) >= 2 AND {_FIRST} NOT IN ({_STOP}) GROUP BY conv_id, name) f
+        ON f.show_id = c.show_id AND f.chunk <= c.chunk GROUP BY c.show_id, c.chunk) n USING (show_id, chunk))""",
+    ),
+)
 def h17(spark, sf):
     rows = d.stored(_captioned(spark, sf))
     t = d.stored(_turns(spark, sf))
