@@ -18,22 +18,35 @@ def k01(spark, sf):
     return shots.select(*[F.col(c).cast("bigint").alias(c) if c in ("show_id", "cut_id") else F.col(c) for c in _COLS])
 
 
-@query("k02_delivery_guard", "SELECT event_id, user_id, event_type, value FROM events")
-def k02(spark, sf):
-    """Events arrive in three deliveries by id, the second of them twice."""
-    path, out = scratch_path(spark, "events"), scratch_path(spark, "events-once")
+def _deliveries(spark, sf, path):
+    """Events in five deliveries in order of time, the third of them twice, several files each."""
     e = d.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    third = e.withColumn("part", F.col("event_id") % 3)
-    third.write.partitionBy("part").parquet(path)
-    third.filter(F.col("part") == 1).withColumn("part", F.lit(3)).write.mode("append").partitionBy("part").parquet(path)
-    live = spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
-    once = intake.once(live, ["event_id"], "ts", "3650 days")
+    span = e.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
+    step = ((span[1] or 0.0) - (span[0] or 0.0)) / 5 + 1
+    part = F.floor((F.col("ts").cast("double") - F.lit(span[0])) / step)
+    parts = d.stored(e.withColumn("part", part))
+    for n in (0, 1, 2, 2, 3, 4):
+        parts.filter(F.col("part") == n).drop("part").repartition(4, "event_id").write.mode("append").parquet(path)
+    return e.schema
+
+
+def guarded(spark, sf, horizon="3 days"):
+    """The guard over these deliveries: what it left, and its last progress."""
+    path, out = scratch_path(spark, "events"), scratch_path(spark, "events-once")
+    live = spark.readStream.schema(_deliveries(spark, sf, path)).option("maxFilesPerTrigger", 4).parquet(path)
     run = (
-        once.writeStream.format("parquet")
+        intake.once(live, ["event_id"], "ts", horizon)
+        .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", scratch_path(spark, "events-log"))
         .trigger(availableNow=True)
         .start()
     )
     run.awaitTermination()
-    return spark.read.parquet(out).select("event_id", "user_id", "event_type", "value")
+    return spark.read.parquet(out).select("event_id", "user_id", "event_type", "value"), run.lastProgress
+
+
+@query("k02_delivery_guard", "SELECT event_id, user_id, event_type, value FROM events")
+def k02(spark, sf):
+    """Events arrive in order of time, a part of them twice; the guard forgets what is three days old."""
+    return guarded(spark, sf)[0]

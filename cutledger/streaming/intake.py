@@ -8,21 +8,23 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cutledger.operators import audit, qc
 from cutledger.sources import scenes
-from cutledger.sources.artifacts import optional, sink as write
 
 K = ["show_id", "cut_id"]
 
 
-def stream(spark: SparkSession, path: str, checkpoint: str, sink: str, cuts: DataFrame) -> StreamingQuery:
+def stream(spark: SparkSession, path: str, checkpoint: str, sink: str, cuts: DataFrame, files: int = 1000) -> StreamingQuery:
     """Turn scene files that arrived since the last run into shots, flags and fps guard rows.
 
-    Parsed rows are kept in ``arrived``, below the number of their micro-batch, so a batch that is
-    repeated after a failure replaces itself. Each batch runs the batch operators over all rows that
-    its cuts have so far, and puts the results in the place of what these cuts had: the outcome does
-    not depend on how files fall into batches.
+    A micro-batch takes ``files`` files at most, and so touches no more cuts than that. Parsed rows
+    are kept in ``arrived``, one folder per cut and in it one per batch, so a batch that is repeated
+    after a failure replaces itself. Each batch runs the batch operators over all rows that its
+    cuts have so far, read from the folders of these cuts alone, and puts the results in the place
+    of what they had: the outcome does not depend on how files fall into batches, and a batch costs
+    what its cuts hold, however much was delivered before.
     """
     lines = (
         spark.readStream.option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files)
         .text(path)
         .select("value", F.col("_metadata.file_path").alias("path"))
     )
@@ -30,11 +32,13 @@ def stream(spark: SparkSession, path: str, checkpoint: str, sink: str, cuts: Dat
     def intake(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession
         batch.persist()
-        shots, rejects = scenes.parse(batch)
-        write(_keyed(shots), f"{sink}/arrived/batch={batch_id}")
-        write(_keyed(rejects), f"{sink}/unread/batch={batch_id}")
         touched = _keyed(batch.select("path").distinct()).select(*K).distinct().persist()
-        so_far = [_so_far(own, f"{sink}/{name}", df, batch_id, touched) for name, df in (("arrived", shots), ("unread", rejects))]
+        some = [tuple(r) for r in touched.collect()]  # no more than there are files in a batch
+        fresh = dict(zip(("arrived", "unread"), scenes.parse(batch), strict=True))
+        for name, rows in fresh.items():
+            rows = _keyed(rows).withColumn("batch", F.lit(batch_id))
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*K, "batch").parquet(f"{sink}/{name}")
+        so_far = [_so_far(own, f"{sink}/{name}", rows, batch_id, some) for name, rows in fresh.items()]
         shots, rejects = scenes.key_shots(*so_far, cuts)
         shots.persist()
         hashes = shots.select(*K, "tcid", *[F.lit(None).cast("bigint").alias(f"a_{p}") for p in ("start", "mid", "end")])
@@ -60,12 +64,23 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({k: F.regexp_extract("path", scenes.CUT_KEY, i + 1).try_cast("bigint") for i, k in enumerate(K)})
 
 
-def _so_far(spark: SparkSession, path: str, like: DataFrame, batch_id: int, touched: DataFrame) -> DataFrame:
-    """Rows of the touched cuts from all batches up to this one, with the columns of ``like``."""
-    schema = ", ".join([f"{c} {t}" for c, t in like.dtypes] + ["batch bigint", *(f"{k} bigint" for k in K)])
-    rows = optional(spark, path, schema).filter(F.col("batch") <= batch_id)
-    same = [rows[k].eqNullSafe(touched[k]) for k in K]
-    return rows.join(touched, same, "left_semi").select(*like.columns)
+def _folders(spark: SparkSession, path: str, some: list[tuple]) -> list[str]:
+    """Folders of the given cuts below ``path``, those that exist."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    name = lambda k, v: f"{k}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}"
+    every = [f"{path}/{'/'.join(map(name, K, cut))}" for cut in some]
+    places = [(x, jvm.org.apache.hadoop.fs.Path(x)) for x in every]
+    return [x for x, at in places if at.getFileSystem(conf).exists(at)]
+
+
+def _so_far(spark: SparkSession, path: str, like: DataFrame, batch_id: int, some: list[tuple]) -> DataFrame:
+    """Rows of the given cuts from all batches up to this one, with the columns of ``like``."""
+    schema = ", ".join([f"{c} {t}" for c, t in like.dtypes] + [*(f"{k} bigint" for k in K), "batch bigint"])
+    folders = _folders(spark, path, some)
+    if not folders:
+        return spark.createDataFrame([], schema).select(*like.columns)
+    rows = spark.read.schema(schema).option("basePath", path).parquet(*folders)
+    return rows.filter(F.col("batch") <= batch_id).select(*like.columns)
 
 
 def _replace(rows: DataFrame, path: str, touched: DataFrame) -> None:
