@@ -159,12 +159,43 @@ def a09(spark, sf):
     ),
 )
 def a10(spark, sf):
-    """Every fifth report has no readable offset."""
+    return X.offset_reports(_reports(spark, sf).withColumnRenamed("value", "report"), K)
+
+
+def _reports(spark, sf):
+    """A report per cut; every fifth has no readable offset."""
     o = R.tc_offset(_tc_reads(spark, sf), d.cuts(spark, sf)).join(d.cuts(spark, sf), K)
     state = F.when(F.col("constant"), F.lit("=> CONSTANT")).otherwise(F.lit("=> DRIFTS"))
     line = F.concat(F.lit("median offset = "), "median_offset_tc", F.lit(" ("), F.col("median_offset").cast("string"), F.lit(" frames @ "), F.col("fps").cast("string"), F.lit("fps)"))
     text = F.when(F.col("show_id") % 5 == 0, F.lit("fps=24.0, 0 shots sampled")).otherwise(F.concat_ws("\n", state, line))
-    return X.offset_reports(o.select(*K, text.alias("report")), K)
+    return o.select(*K, text.alias("value"))
+
+
+@query(
+    "a10_report_files",
+    sql(
+        "offset_stats",
+        f"""SELECT {KEY}, CASE WHEN show_id % 5 <> 0 THEN {d.smpte('median_offset', 'fps')} END AS median_offset_tc, CASE WHEN show_id % 5 <> 0 THEN median_offset END AS median_offset_frames,
+        CASE WHEN show_id % 5 <> 0 THEN constant END AS constant FROM offset_stats""",
+    ),
+)
+def a10f(spark, sf):
+    """The same reports as text files, one per cut, found and read by path."""
+    path = scratch_path(spark, "reports")
+    _reports(spark, sf).repartition(*K).write.partitionBy(*K).text(path)
+    got = X.scan_offset_reports(spark, f"{path}/*/*/*.txt")
+    keys = [F.regexp_extract("path", rf"{k}=(\d+)/", 1).cast("bigint").alias(k) for k in K]
+    return got.select(*keys, "median_offset_tc", "median_offset_frames", "constant")
+
+
+@query("a04_csv_by_header", sql("new_cut", "SELECT CAST(show_id AS VARCHAR) AS show_id, tcid, code, CAST(input_pos AS VARCHAR) AS \"order\", CAST(NULL AS VARCHAR) AS vfx_note FROM new_cut"))
+def a04c(spark, sf):
+    """CSV files whose headers differ in case, blanks and order; one column is missing."""
+    path = scratch_path(spark, "csv")
+    n = d.new_cut(spark, sf)
+    n.select(F.col("input_pos").alias(" Order"), F.col("code").alias("CODE "), F.col("show_id").alias("Show  ID"), F.col("tcid").alias("TcId")).write.option("header", True).csv(path)
+    fields = {"show_id": ["show id"], "tcid": ["tcid"], "code": ["code"], "order": ["order"], "vfx_note": ["VFX Notes", "VFX Note"]}
+    return T.read_by_header(spark, path, fields, ["show_id", "tcid"])
 
 
 @query("a11_artifact_sink", sql("edit", f"SELECT {KEY}, seq, len_frames, start_frame FROM edit"))

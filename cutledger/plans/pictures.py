@@ -8,6 +8,8 @@ from cutledger.operators import diff, ordered, vision, wall
 from cutledger.plans import derive as d
 from cutledger.plans.derive import sql
 from cutledger.plans.registry import query
+from cutledger.session import scratch_path
+from cutledger.sources import artifacts
 
 K = ["show_id", "cut_id"]
 _N = "row_number() OVER (PARTITION BY pair_id ORDER BY {0}) - 1"
@@ -261,47 +263,120 @@ def f05(spark, sf):
     return vision.sampled(rows, 80).select(F.col("show_id").cast("int").alias("label"), F.col("v").alias("vec_id"))
 
 
-def _images(spark, sf):
-    """Frames in the shape of the image source, drawn from the vectors over all cores."""
+def _drawn(spark, sf):
+    """Pictures in the shape of the image source, drawn from the vectors over all cores, and the folder each is kept in.
+
+    Every fifth shot has full frames only; every third has both, the full ones upside down.
+    """
     e = d.table(spark, sf, "embeddings").repartition(spark.sparkContext.defaultParallelism)
-    e = e.select(F.col("label").cast("bigint").alias("show_id"), "vec_id", "embedding")
-
-    def draw(batches):
-        for pdf in batches:
-            out = []
-            for show, vec, x in pdf.itertuples(index=False, name=None):
-                base = np.clip((np.asarray(x, float).reshape(8, 8) * 300 + 128), 0, 255)
-                for pos, a in (("start", base), ("mid", base), ("end", base.T)):
-                    big = np.kron(a, np.ones((6, 8))).astype(np.uint8)
+    e = e.select(F.col("label").cast("bigint").alias("show_id"), F.lit(1).cast("bigint").alias("cut_id"), "vec_id", "embedding")
+    return e.mapInPandas(_draw, _PICTURES)
+
+
+_PICTURES = "show_id bigint, cut_id bigint, folder string, tcid string, pos string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+
+
+def _draw(batches):
+    for pdf in batches:
+        out = []
+        for show, cut, vec, x in pdf.itertuples(index=False, name=None):
+            base = np.clip((np.asarray(x, float).reshape(8, 8) * 300 + 128), 0, 255)
+            for pos, a in (("start", base), ("mid", base), ("end", base.T)):
+                for folder in ["frames"] if vec % 5 == 0 else ["thumbs", "frames"] if vec % 3 == 0 else ["thumbs"]:
+                    big = np.kron(a[::-1] if folder == "frames" and vec % 5 else a, np.ones((6, 8))).astype(np.uint8)
                     px = np.stack([big, 255 - big, big // 2], 2)
                     im = {"origin": "", "height": 48, "width": 64, "nChannels": 3, "mode": 16, "data": px.tobytes()}
-                    out.append((show, 1, f"{vec:08d}", pos, im))
-            yield pd.DataFrame(out, columns=["show_id", "cut_id", "tcid", "pos", "image"])
+                    out.append((show, cut, folder, f"{vec:08d}", pos, im))
+        yield pd.DataFrame(out, columns=["show_id", "cut_id", "folder", "tcid", "pos", "image"])
+
 
-    image = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
-    return e.mapInPandas(draw, f"show_id bigint, cut_id bigint, tcid string, pos string, image {image}")
+def _files(spark, sf):
+    """The pictures as files in the shared folder, and as the image source reads them back."""
+    path = scratch_path(spark, "frames")
+    artifacts.write_images(_drawn(spark, sf), path)
+    return artifacts.scan_images(spark, path)
+
+
+@query(
+    "a03_scan_images",
+    """SELECT CAST(label AS BIGINT) AS show_id, CAST(1 AS BIGINT) AS cut_id, lpad(CAST(vec_id AS VARCHAR), 8, '0') AS tcid, pos, CASE WHEN vec_id % 5 = 0 THEN 'frames' ELSE 'thumbs' END AS folder,
+    48 AS height, 64 AS width, CAST(floor(greatest(0, least(255, CAST(embedding[1] AS DOUBLE) * 300 + 128))) AS BIGINT) AS first_pixel FROM embeddings, (SELECT unnest(['start', 'mid', 'end']) AS pos)""",
+)
+def a03i(spark, sf):
+    """What was read: the folder a file was chosen from, its size and its first blue value."""
+    folder = F.regexp_extract("image.origin", r"([^/]+)/[^/]+$", 1).alias("folder")
+    blue = F.conv(F.hex(F.substring("image.data", 1, 1)), 16, 10).cast("bigint").alias("first_pixel")
+    return _files(spark, sf).select(*K, "tcid", "pos", folder, "image.height", "image.width", blue)
 
 
 @query("j01_fingerprints")
 def j01(spark, sf):
-    return vision.fingerprints(_images(spark, sf)).select(*K, "tcid", "h_start", "h_mid", "h_end", "dark", F.size("color").alias("n_color"))
+    return vision.fingerprints(_files(spark, sf)).select(*K, "tcid", "h_start", "h_mid", "h_end", "dark", F.size("color").alias("n_color"))
 
 
 @query("j03_gray_differences")
 def j03g(spark, sf):
-    f = vision.image_features(_images(spark, sf))
+    f = vision.image_features(_files(spark, sf))
     wide = f.groupBy(*K, "tcid").agg(*[F.max(F.when(F.col("pos") == p, F.col("gray"))).alias(f"g_{p}") for p in ("start", "mid", "end")])
     return vision.gray_differences(wide.withColumn("seq", F.col("tcid").cast("bigint")))
 
 
-@query("j07_contact_tiles")
+@query(
+    "j07_contact_tiles",
+    """SELECT show_id, cut_id, tcid, x0, y0, x1, y1, (x1 - x0) * (y1 - y0) * 3 AS n_bytes FROM (SELECT show_id, CAST(1 AS BIGINT) AS cut_id, tcid, i % c * 768 // c AS x0, i // c * 432 // r AS y0, (i % c + 1) * 768 // c AS x1, (i // c + 1) * 432 // r AS y1 FROM (
+    SELECT *, CAST(ceil(n / c) AS BIGINT) AS r FROM (SELECT *, greatest(1, CAST(round_even(sqrt(768 / 432.0::DOUBLE * n / (64 / 48.0::DOUBLE)), 0) AS BIGINT)) AS c FROM (
+    SELECT CAST(label AS BIGINT) AS show_id, lpad(CAST(vec_id AS VARCHAR), 8, '0') AS tcid, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings))))""",
+)
 def j07(spark, sf):
-    im = _images(spark, sf).filter(F.col("pos") == "mid")
-    keys = d.table(spark, sf, "embeddings").select(
-        F.col("label").cast("bigint").alias("show_id"), F.lit(1).cast("bigint").alias("cut_id"), F.lpad(F.col("vec_id").cast("string"), 8, "0").alias("tcid"), F.col("vec_id").alias("seq")
-    )
+    im = d.stored(_files(spark, sf).filter(F.col("pos") == "mid"))
+    keys = im.select(*K, "tcid", F.col("tcid").cast("bigint").alias("seq"))
     grid = wall.grid(keys, (768, 432), 64 / 48)
     luma = vision.image_features(im).select(*K, (F.col("tcid").cast("bigint")).alias("v"), "row_luma")
     luma = ordered.ordinal(luma, K, ["v"], "frame_pos").withColumn("frame_pos", F.col("frame_pos") - 1)
     got = vision.tiles(im, grid, vision.letterbox(luma))
-    return got.select(*K, "tcid", "x0", "y0", "x1", "y1", F.length("pixels").alias("n_bytes"))
+    return got.select(*K, "tcid", "x0", "y0", "x1", "y1", F.length("pixels").cast("bigint").alias("n_bytes"))
+
+
+# Two cuts of each label's pictures: in the second every 13th shot has another picture, every 17th
+# is longer by five frames, every 19th stands at the end, but for the last ones.
+d.CTES["recut"] = (
+    "",
+    """SELECT CAST(label AS BIGINT) AS pair_id, lpad(CAST(vec_id AS VARCHAR), 8, '0') AS tcid, vec_id % 90 + 10 AS len_frames, CASE WHEN r > n - 8 THEN 'same' WHEN r % 13 = 4 THEN 'other' WHEN r % 17 = 5 THEN 'longer' WHEN r % 19 = 6 THEN 'moved' ELSE 'same' END AS kind FROM (
+    SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings)""",
+)
+
+
+def _recut(spark, sf):
+    e = d.table(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("show_id"), "vec_id", "embedding")
+    e = ordered.ordinal(e, ["show_id"], ["vec_id"], "r").join(e.groupBy("show_id").agg(F.count("*").alias("n")), "show_id")
+    r = F.col("r")
+    kind = F.when(r > F.col("n") - 8, "same").when(r % 13 == 4, "other").when(r % 17 == 5, "longer").when(r % 19 == 6, "moved").otherwise("same")
+    e = d.stored(e.withColumn("kind", kind))
+    cut = F.explode(F.array(*[F.lit(x).cast("bigint") for x in (1, 2)])).alias("cut_id")
+    both = e.select("show_id", cut, "vec_id", "embedding", "kind")
+    new = F.col("cut_id") == 2
+    shots = both.select(
+        *K, F.lpad(F.col("vec_id").cast("string"), 8, "0").alias("tcid"), (F.col("vec_id") + F.when(new & (F.col("kind") == "moved"), 10**9).otherwise(0)).alias("seq"),
+        (F.col("vec_id") % 90 + 10 + F.when(new & (F.col("kind") == "longer"), 5).otherwise(0)).alias("len_frames"),
+    )
+    other = F.transform("embedding", lambda x: F.negative(x))
+    drawn = both.select(*K, "vec_id", F.when(new & (F.col("kind") == "other"), other).otherwise(F.col("embedding")).alias("embedding"))
+    path = scratch_path(spark, "two-cuts")
+    artifacts.write_images(drawn.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_draw, _PICTURES), path)
+    return d.stored(shots), d.stored(vision.fingerprints(artifacts.scan_images(spark, path)))
+
+
+@query(
+    "c12_compare_pictures",
+    sql(
+        "recut",
+        """SELECT pair_id, tcid AS old_code, CASE WHEN kind = 'other' THEN '' ELSE tcid END AS new_code, CASE kind WHEN 'other' THEN 'REMOVED' WHEN 'longer' THEN 'CHANGED' WHEN 'moved' THEN 'SHIFTED' ELSE 'SAME' END AS verdict,
+        len_frames AS old_dur, CASE WHEN kind <> 'other' THEN len_frames + CASE WHEN kind = 'longer' THEN 5 ELSE 0 END END AS new_dur, CASE WHEN kind <> 'other' THEN CAST(CASE WHEN kind = 'longer' THEN 5 ELSE 0 END AS BIGINT) END AS dur_delta FROM recut
+        UNION ALL SELECT pair_id, '', tcid, 'ADDED', NULL, len_frames, NULL FROM recut WHERE kind = 'other'""",
+    ),
+)
+def c12p(spark, sf):
+    """From picture files to the report: fingerprints, looks, alignment, moves, classes."""
+    shots, prints = _recut(spark, sf)
+    sides = [diff.side(prints, shots.filter(F.col("cut_id") == c)) for c in (1, 2)]
+    return diff.compare(*sides)[0]
