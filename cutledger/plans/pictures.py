@@ -45,19 +45,71 @@ def c08(spark, sf):
     return diff.pairs(a, b).withColumn("dc", F.round("dc", 6))
 
 
-@query("c09_cut_alignment")
+# The alignment as a table of scores, row by row, and the way back from its end; whole thousandths.
+d.CTES["level"] = (
+    "old_cut new_pictures",
+    f"""SELECT pair_id, i, j, CASE WHEN dp <= 12 OR (dc <= 0 AND lit) THEN 2000 WHEN dp <= 40 THEN 400 ELSE -1000000000000 END AS w FROM (
+    SELECT a.pair_id, a.pos + 1 AS i, b.pos + 1 AS j, {_DP} AS dp, {_DC} AS dc, NOT a.dark AND NOT b.dark AS lit FROM old_cut a JOIN new_pictures b USING (pair_id))""",
+)
+d.CTES["score_rows"] = ("level", "SELECT pair_id, i, list(w ORDER BY j) AS ws, count(*) AS m FROM level GROUP BY pair_id, i")
+d.CTES["score_table"] = (
+    "score_rows",
+    """SELECT * FROM (WITH RECURSIVE t AS (SELECT DISTINCT pair_id, CAST(0 AS BIGINT) AS i, [CAST(-1000 * k AS BIGINT) for k in range(m + 1)] AS s FROM score_rows UNION ALL
+    SELECT pair_id, i, [CAST(list_max(e[1:k]) - 1000 * (k - 1) AS BIGINT) for k in range(1, m + 2)] FROM (
+    SELECT r.pair_id, r.i, r.m, list_prepend(-1000 * r.i, [greatest(t.s[k] + r.ws[k] + 1000 * k, t.s[k + 1] - 1000 + 1000 * k) for k in range(1, r.m + 1)]) AS e FROM t JOIN score_rows r ON r.pair_id = t.pair_id AND r.i = t.i + 1))
+    SELECT * FROM t)""",
+)
+d.CTES["aligned"] = (
+    "score_table",
+    """SELECT pair_id, tag, oi AS i, oj AS j, step FROM (WITH RECURSIVE b AS (
+    SELECT pair_id, max(i) AS i, max(m) AS j, CAST(-1 AS BIGINT) AS step, '' AS tag, CAST(NULL AS BIGINT) AS oi, CAST(NULL AS BIGINT) AS oj FROM score_rows GROUP BY pair_id UNION ALL
+    SELECT pair_id, CASE WHEN tag = 'ins' THEN i ELSE i - 1 END, CASE WHEN tag = 'del' THEN j ELSE j - 1 END, step + 1, tag, CASE WHEN tag <> 'ins' THEN i - 1 END, CASE WHEN tag <> 'del' THEN j - 1 END FROM (
+    SELECT b.pair_id, b.i, b.j, b.step, CASE WHEN b.i = 0 THEN 'ins' WHEN b.j = 0 THEN 'del' WHEN r.ws[b.j] > 0 AND h.s[b.j + 1] = u.s[b.j] + r.ws[b.j] THEN CASE r.ws[b.j] WHEN 2000 THEN 'equal' ELSE 'sub' END
+    WHEN h.s[b.j + 1] = u.s[b.j + 1] - 1000 THEN 'del' ELSE 'ins' END AS tag
+    FROM b LEFT JOIN score_table h ON h.pair_id = b.pair_id AND h.i = b.i LEFT JOIN score_table u ON u.pair_id = b.pair_id AND u.i = b.i - 1 LEFT JOIN score_rows r ON r.pair_id = b.pair_id AND r.i = b.i WHERE b.i > 0 OR b.j > 0))
+    SELECT * FROM b) WHERE step >= 0""",
+)
+d.CTES["move_lists"] = (
+    "aligned level",
+    """SELECT pair_id, i, row_number() OVER (PARTITION BY pair_id ORDER BY i) AS nth, js FROM (SELECT x.pair_id, x.i, list(y.j ORDER BY y.j) AS js FROM aligned x JOIN aligned y ON y.pair_id = x.pair_id
+    JOIN level l ON l.pair_id = x.pair_id AND l.i = x.i + 1 AND l.j = y.j + 1 WHERE x.tag = 'del' AND y.tag = 'ins' AND l.w = 2000 GROUP BY x.pair_id, x.i)""",
+)
+d.CTES["moved"] = (
+    "move_lists",
+    """SELECT pair_id, i, j FROM (WITH RECURSIVE t AS (SELECT DISTINCT pair_id, CAST(0 AS BIGINT) AS nth, CAST(-1 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS j, CAST([] AS BIGINT[]) AS used FROM move_lists UNION ALL
+    SELECT pair_id, nth, i, j, CASE WHEN j IS NULL THEN used ELSE list_append(used, j) END FROM (
+    SELECT l.pair_id, l.nth, l.i, t.used, list_filter(l.js, lambda x: NOT list_contains(t.used, x))[1] AS j FROM t JOIN move_lists l ON l.pair_id = t.pair_id AND l.nth = t.nth + 1)) SELECT * FROM t) WHERE j IS NOT NULL""",
+)
+
+
+@query("c09_cut_alignment", sql("aligned", "SELECT * FROM aligned"))
 def c09(spark, sf):
     a, b = (d.stored(x) for x in d.old_and_new(spark, sf))
     return diff.align(a, b)
 
 
-@query("c10_moved_shots")
+@query("c10_moved_shots", sql("moved", "SELECT * FROM moved"))
 def c10(spark, sf):
     a, b = (d.stored(x) for x in d.old_and_new(spark, sf))
     return diff.moves(d.stored(diff.align(a, b)), a, b)
 
 
-@query("c11_cut_diff")
+_HASHES = "a.h_start IS NOT NULL AND b.h_start IS NOT NULL"
+
+
+@query(
+    "c11_cut_diff",
+    sql(
+        "moved",
+        f"""SELECT pair_id, CASE WHEN paired AND (in_dark OR hamming <= 12) THEN CASE WHEN abs(delta) > 2 THEN 'RETIMED' ELSE 'SAME' END WHEN paired AND hamming <= 40 THEN 'CHANGED' WHEN paired THEN 'REVIEW'
+        WHEN tag = 'del' AND went THEN 'MOVED' WHEN tag = 'del' THEN 'REMOVED' ELSE 'ADDED' END AS status, coalesce(old_tcid, '') AS a_tcid, coalesce(new_tcid, '') AS b_tcid, hamming, CASE WHEN paired THEN delta END AS len_delta_frames,
+        CASE WHEN paired AND in_dark THEN 'slate' WHEN paired AND hamming <= 40 THEN 'phash' WHEN paired THEN 'color' WHEN went THEN 'phash' ELSE '' END AS method FROM (
+        SELECT o.pair_id, o.tag, o.tag IN ('equal', 'sub') AS paired, o.went, a.tcid AS old_tcid, b.tcid AS new_tcid, a.dark AND b.dark AS in_dark, b.len_frames - a.len_frames AS delta, CASE WHEN {_HASHES} THEN CAST({_DP} AS BIGINT) END AS hamming FROM (
+        SELECT x.pair_id, x.tag, x.i, coalesce(x.j, m.j) AS j, m.j IS NOT NULL AS went FROM aligned x LEFT JOIN moved m ON m.pair_id = x.pair_id AND m.i = x.i AND x.tag = 'del'
+        LEFT JOIN moved t ON t.pair_id = x.pair_id AND t.j = x.j AND x.tag = 'ins' WHERE t.j IS NULL) o
+        LEFT JOIN old_cut a ON a.pair_id = o.pair_id AND a.pos = o.i LEFT JOIN new_pictures b ON b.pair_id = o.pair_id AND b.pos = o.j)""",
+    ),
+)
 def c11_full(spark, sf):
     """The whole diff: alignment, moves, classes."""
     a, b = (d.stored(x) for x in d.old_and_new(spark, sf))
