@@ -1,6 +1,7 @@
 """Shot-shaped tables that Spark derives from the given ones, and the same tables as SQL.
 
-Every table is built from all rows of its source.
+Every table is built from all rows of its source; the new cut and the master list divide the rows
+by what they belong to.
 """
 
 from __future__ import annotations
@@ -79,15 +80,19 @@ def stored(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
-def new_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _coded(edit(spark, sf_dir).filter(F.col("l_returnflag") != "N"))
+def new_cut(spark: SparkSession, sf_dir: str, whole: DataFrame | None = None) -> DataFrame:
+    """A shot belongs to the new cut by its return flag, and to the master list by its line status.
+
+    ``whole``: the edit both are taken from, if it is there already.
+    """
+    rows = _coded((edit(spark, sf_dir) if whole is None else whole).filter(F.col("l_returnflag") != "N"))
     return rows.select(
         "show_id", F.lpad(F.col("seq").cast("string"), 8, "0").alias("tcid"), "code", F.col("seq").alias("input_pos"), "len_frames"
     )
 
 
-def master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _coded(edit(spark, sf_dir).filter(F.col("l_linestatus") == "O"))
+def master(spark: SparkSession, sf_dir: str, whole: DataFrame | None = None) -> DataFrame:
+    rows = _coded((edit(spark, sf_dir) if whole is None else whole).filter(F.col("l_linestatus") == "O"))
     return rows.select(
         "show_id",
         F.col("seq").alias("row"),

@@ -13,7 +13,8 @@ M = "show_id, tcid, master_row, master_code, tier"
 
 
 def _sides(spark, sf):
-    return d.stored(d.new_cut(spark, sf)), d.stored(d.master(spark, sf))
+    whole = d.edit(spark, sf)
+    return d.stored(d.new_cut(spark, sf, whole)), d.stored(d.master(spark, sf, whole))
 
 
 @query("c01_exact_code", sql("exact", f"SELECT {M} FROM exact"))

@@ -75,11 +75,11 @@ def d11(spark, sf):
     "e04_renumber",
     sql(
         "shots",
-        f"SELECT {KEY}, tcid, row_number() OVER (PARTITION BY {KEY} ORDER BY start_frame) AS seq, start_frame FROM shots WHERE len_frames > 5",
+        f"SELECT {KEY}, tcid, row_number() OVER (PARTITION BY {KEY} ORDER BY start_frame) AS seq, start_frame FROM shots",
     ),
 )
 def e04(spark, sf):
-    return S.renumber(d.shots(spark, sf).filter(F.col("len_frames") > 5)).select(*K, "tcid", "seq", "start_frame")
+    return S.renumber(d.shots(spark, sf)).select(*K, "tcid", "seq", "start_frame")
 
 
 @query("e05_running_start", sql("edit", f"SELECT {KEY}, seq, len_frames, start_frame, end_frame FROM edit"))
@@ -130,6 +130,7 @@ _GAPS = "SELECT * FROM shots WHERE slate_n <> 7"
     ),
 )
 def e12(spark, sf):
+    """The cut under test is the edit without the shots of slate 7, so that it has gaps; all its neighbours are looked at."""
     return S.contiguity(d.shots(spark, sf).filter(F.col("slate_n") != 7))
 
 

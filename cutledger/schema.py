@@ -1,28 +1,8 @@
-"""Fixed schemas of the internal tables, as DDL.
+"""Fixed values of the internal tables.
 
-Names in loaders are resolved from headers (sources.tables); everything past a loader has these
-columns. ``show_id, cut_id`` lead every key. Frame counts are bigint: 1-based and end-inclusive.
+Names in loaders are resolved from headers (sources.tables). ``show_id, cut_id`` lead every key.
+Frame counts are bigint: 1-based and end-inclusive.
 """
 
-_K = "show_id bigint, cut_id bigint"
-
-
-CUTS = f"{_K}, arrival_seq bigint, fps double, prefix string, show_tc_offset_frames bigint"
-SHOTS = (
-    f"{_K}, tcid string, seq bigint, start_frame bigint, end_frame bigint, len_frames bigint,"
-    " start_s double, end_s double, start_tc string, end_tc string, duration_s double"
-)
-FRAME_READS = f"{_K}, tcid string, pos string, field string, raw string"
-SLATE_READS = (
-    f"{_K}, tcid string, scene string, slate string, take_roman string, take_int int,"
-    " official_code string, tier string, n_slate_frames int"
-)
-NOTE_READS = f"{_K}, tcid string, vfx_note string, tier string, is_vfx boolean, n_present int"
-DIALOGUE = f"{_K}, tcid string, shot_code string, start double, end double, dialogue string"
-DESCRIPTIONS = f"{_K}, tcid string, shot_code string, visual_caption string, revised_description string"
-MASTER = "show_id bigint, row bigint, code string, revision string, status string, input_pos bigint"
-CELL_CHANGES = "tab string, row bigint, field string, old string, new string, action string"
-LEDGER = "id string, tcid string, sheet_row bigint, top_row bigint, cut_frames array<bigint>"
-OFFSETS = "path string, median_offset_tc string, median_offset_frames bigint, constant boolean"
-
+#: Frames grabbed of a shot, in order.
 POSITIONS = ("start", "mid", "end")

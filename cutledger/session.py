@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Where the setting is missing, the folder lies below the warehouse, which a cluster shares too;
-    never in a machine's own temporary folder.
+    Where the setting is missing, the folder lies below the warehouse, never in a machine's own
+    temporary folder. On a cluster that is only right if the warehouse is shared; one that is a
+    local folder there is an error.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if not named:
         named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        if named.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors reach; {named} is a local one")
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext.getCheckpointDir()
 

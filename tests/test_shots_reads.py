@@ -188,3 +188,34 @@ def test_suspects(spark):
     h = s.select("show_id", "cut_id", "tcid", F.lit(0).cast("bigint").alias("a_start"), F.when(F.col("len_frames") == 3, F.lit(2**40 - 1)).otherwise(0).cast("bigint").alias("a_mid"), F.lit(None).cast("bigint").alias("a_end"))
     got = [r["note"] for r in qc.suspects(s, h).orderBy("tcid").collect() if r["note"]]
     assert got == ["len<4f; phash-jump", "dur>10.0s(med=1.0)"]
+
+
+def exchanges(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return plan.count("Exchange "), plan.count("FileScan")
+
+
+def test_split_and_merge_read_the_table_few_times(spark, monkeypatch):
+    """One pass settles table, changes and rejects: few exchanges and scans of the stored table."""
+    from cutledger.session import materialize
+
+    counted = []
+
+    def counting(df):
+        counted.append(exchanges(df))
+        return materialize(df)
+
+    monkeypatch.setattr(S, "materialize", counting)
+    rows = [(1, 1, i + 1, i * 50 + 1, i * 50 + 50, 50, f"{i:08d}", 24.0) for i in range(40)]
+    shots = materialize(spark.createDataFrame(rows, "show_id bigint, cut_id bigint, seq bigint, start_frame bigint, end_frame bigint, len_frames bigint, tcid string, fps double"))
+    points = shots.filter("seq % 3 = 0").selectExpr("show_id", "cut_id", "tcid", "20L AS at_frame")
+    table, changes, rejects = S.split(shots, points)
+    end = exchanges(table)
+    assert counted[0][1] + end[1] <= 4 and counted[0][1] <= 3 and counted[0][0] + end[0] <= 15
+    assert changes.count() == 26 and rejects.count() == 0 and table.count() == 53
+    counted.clear()
+    pairs = shots.filter("seq % 5 = 1").selectExpr("show_id", "cut_id", "tcid AS keep_tcid", "lpad(CAST(CAST(tcid AS BIGINT) + 1 AS STRING), 8, '0') AS absorb_tcid")
+    table, changes, rejects = S.merge(shots, pairs)
+    assert counted[0][1] <= 3 and counted[0][0] + exchanges(table)[0] <= 15
+    assert changes.count() == 8 and table.count() == 32
