@@ -11,7 +11,7 @@ from cutledger.session import stored
 WHITE = " \t\n\x0b\x0c\r"
 KEY = "_row_key"
 
-__all__ = ["KEY", "WHITE", "bare", "documents", "keyed", "packed", "stored", "text_of", "words"]
+__all__ = ["KEY", "WHITE", "bare", "documents", "keyed", "packed", "stored", "text_of", "without", "words"]
 
 
 def text_of(column: str) -> Column:
@@ -48,3 +48,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     if unclear.limit(1).count() == 0:
         return docs.withColumn(KEY, F.col(id_col).cast("bigint"))
     return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def without(rows: DataFrame, dropped: DataFrame, few: int = 1_000_000) -> DataFrame:
+    """`rows` whose KEY is not in `dropped` (KEY, distinct).
+
+    Up to `few` keys travel to the rows, which then stay where they are; beyond that both are shuffled.
+    """
+    listed = stored(dropped.select(KEY), "dropped")
+    return rows.join(F.broadcast(listed) if listed.count() <= few else listed, KEY, "left_anti")

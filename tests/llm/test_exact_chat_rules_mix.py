@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from cutledger.llm import chat, exact, mix, rules
+from cutledger.llm import chat, exact, mix, near, rules
 from cutledger.llm.common import KEY, keyed
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -44,10 +45,61 @@ def test_exact_against_a_plain_loop(spark):
     assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(rows)
 
 
-def test_exact_where_the_list_of_heads_is_too_long_to_travel(spark):
-    docs = keyed(table(spark, odd_rows()))
-    few, many = exact.decide(docs), exact.decide(docs, few=0)
-    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+def test_only_rows_that_another_agrees_with_are_picked_out(spark):
+    """Whatever the number of keys: the filter holds back all but them and few others."""
+    n = 30_000
+    rows = spark.range(n).select(F.col("id").alias(KEY), F.col("id").cast("string").alias("text"))
+    got = exact.survivors(rows, rows.where(f"{KEY} % 10 = 0").select(KEY))
+    assert got.where(f"{KEY} % 10 = 0").count() == n // 10 and got.count() < n // 10 + n // 5
+    # A filter too small for its list lets more through, and still loses none.
+    tight = exact.survivors(rows, rows.where(f"{KEY} % 3 = 0").select(KEY), chunks=1)
+    assert tight.where(f"{KEY} % 3 = 0").count() == n // 3 and tight.columns == rows.columns
+
+
+def test_what_is_hashed_on_a_real_table(spark, monkeypatch):
+    sizes, plain = {}, exact.stored
+
+    def stored(df, name):
+        out = plain(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(exact, "stored", stored)
+    docs = [(i, f"text number {i} " + "x" * (i % 90), "en", "a", 0) for i in range(3000)] + [(5000 + i, "copy of one", "en", "a", 0) for i in range(40)]
+    assert exact.query(table(spark, docs)).where("kept").count() == 3001
+    assert sizes["lengths"] == 3040 and 40 <= sizes["hashed"] < 500
+
+
+def test_a_hot_text_is_split_where_it_meets_its_group(spark):
+    """Most rows are one text: the join back to it must not be one task."""
+    conf = {"adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "adaptive.advisoryPartitionSizeInBytes": "1k", "autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false", "adaptive.skewJoin.skewedPartitionFactor": "2"}
+    for k, v in conf.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        rows = [(i, "hot" if i % 20 else f"cold {i} " + str(i) * (i % 7), "en", "a", 0) for i in range(30_000)]
+        rows += [(40_000 + r[0], r[1], "en", "a", 0) for r in rows if r[1] != "hot"]
+        got = exact.decide(keyed(table(spark, rows).repartition(40)))
+        got.collect()
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(f"spark.sql.{k}")
+
+
+@pytest.mark.parametrize("fn", [exact.dedup, rules.keep_good, mix.mixed, near.dedup])
+def test_a_callers_columns_of_any_name_stay(spark, fn):
+    rows = [(i, " ".join(f"word{i}x{k}" for k in range(30)), "en", "a", 0) for i in range(60)]
+    df = table(spark, rows).withColumns({KEY: F.lit(77), "id": F.lit("i"), "row": F.lit(1), "a.b": F.lit(2), "_q_n_words": F.lit(3)})
+    got = fn(df)
+    assert got.columns == df.columns and got.where(f"{KEY} = 77 AND id = 'i' AND row = 1 AND `a.b` = 2 AND _q_n_words = 3").count() == got.count() > 0
+
+
+@pytest.mark.parametrize("fn", [rules.keep_good, mix.mixed])
+def test_null_ids_and_repeated_rows_stay(spark, fn):
+    text = " ".join(f"word{k}" for k in range(30))
+    df = table(spark, [(None, text, "en", "a", 0)] * 3 + [(1, text, None, None, 0)] * 2)
+    got = fn(df).select("doc_id", "text").collect()
+    assert {r.doc_id for r in got} == {None, 1} and all(r.text and r.text in text for r in got)
 
 
 def test_exact_with_ids_that_repeat_or_lack(spark):
@@ -86,6 +138,26 @@ def test_chat_reads_back_what_went_in(spark):
     assert len(got) == len(by)
 
 
+def test_a_long_conversation_takes_time_in_proportion(spark):
+    """20,000 turns, merged or not, are read back in seconds."""
+    roles = {1: lambda i: "user" if i % 2 else "assistant", 2: lambda i: "assistant"}
+    rows = [(c, i, role(i), f"turn </s> {i} " + "y" * 40) for c, role in roles.items() for i in range(20_000)]
+    df = spark.createDataFrame(rows, TURNS)
+    start = time.time()
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(df)).collect()}
+    assert time.time() - start < 60
+    for c, role in roles.items():
+        assert [(t.role, t.text) for t in got[c].turns] == [r[2:] for r in rows if r[0] == c]
+        assert got[c].learned == [r[3] for r in rows if r[0] == c and r[2] == "assistant"]
+
+
+def test_a_mask_that_does_not_fit_is_an_error(spark):
+    df = chat.format_chats(spark.createDataFrame([(1, 0, "user", "abc"), (1, 1, "assistant", "d")], TURNS))
+    moved = df.withColumn("mask", F.transform("mask", lambda r: F.struct((r["n_chars"] + 1).alias("n_chars"), r["in_loss"].alias("in_loss"))))
+    with pytest.raises(Exception, match="mask"):
+        chat.read_back(moved).collect()
+
+
 def test_chat_mask_covers_the_whole_and_an_empty_table_gives_nothing(spark):
     df = spark.createDataFrame([(1, 0, "user", "a<s>"), (1, 1, "assistant", "b"), (1, 2, "assistant", "</s>")], TURNS)
     r = chat.format_chats(df).first()
@@ -121,6 +193,27 @@ def test_rules_reject_what_stands_out_and_keep_the_rest(spark):
     assert out == set(range(300))
 
 
+def test_a_rare_language_with_long_words_stays(spark):
+    """Five clean texts of a language, whose words are far longer than those of all others."""
+    rng = random.Random(2)
+    text = lambda lo, hi: " ".join("".join(rng.choice("etaoin") for _ in range(rng.randint(lo, hi))) for _ in range(60))
+    rows = [(i, text(2, 8), "en", "big", 0) for i in range(300)]
+    rare = [(1000 + i, text(14, 22), "th", "big", 0) for i in range(5)] + [(1100, text(14, 22), None, "x", 0)]
+    bad = [(2000, " ".join(f"{w}###" for w in text(14, 22).split()), "th", "big", 0)]
+    out = {r.doc_id for r in rules.keep_good(table(spark, rows + rare + bad)).collect()}
+    assert out == {r[0] for r in rows + rare}
+
+
+def test_fences_move_without_a_step(spark):
+    """One text more never moves a fence by more than its share."""
+    def high(n):
+        rows = [(i, " ".join(("" if i < n else "longer") + f"w{i}x{k}" for k in range(20)), "en", "a" if i < n else "b", 0) for i in range(300)]
+        return rules.fences(rules.measure(table(spark, rows))).where("source = 'a'").first().high_word_length
+
+    got = [high(n) for n in (49, 50, 51)]
+    assert max(abs(a - b) for a, b in zip(got, got[1:])) < 100
+
+
 def test_sketch_merges_in_any_order(spark):
     v = spark.range(5000).select((F.col("id") * 37 % 9001).alias("v")).withColumn("b", rules.bucket(F.col("v")))
     assert v.where("b > v OR 32 * (v - b) >= v AND v >= 64 OR v < 64 AND b <> v").count() == 0
