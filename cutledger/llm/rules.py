@@ -20,8 +20,10 @@ RULES = {
 }
 #: A fence is this many times the distance between the quartiles beyond the nearer quartile.
 REACH = 3
-#: A group with fewer texts takes the fences of its language, then those of all texts.
-ENOUGH = 50
+#: A group's quartiles count as many times as it has texts, those of its language this often; in
+#: the same way a language leans on all texts, but only in what does not depend on the language.
+PRIOR = 50
+SHARED = ["symbols", "dup_lines"]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 PRIVATE = "_q_"
 
@@ -76,8 +78,12 @@ def bucket(v: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift)
 
 
-def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", enough: int = ENOUGH) -> DataFrame:
-    """One row per language and source: its lower and upper fence for each rule."""
+def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", prior: int = PRIOR) -> DataFrame:
+    """One row per language and source: its lower and upper fence for each rule.
+
+    Quartiles move with the number of texts from the language's to the group's own, with no step
+    at any number: (own * n + language's * prior) / (n + prior).
+    """
     p = PRIVATE
     keys = [F.col(lang_col).alias("lang"), F.col(source_col).alias("source")]
     pairs = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), bucket(value(r)).alias("bucket")) for r in RULES)))
@@ -92,8 +98,10 @@ def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "sourc
         for c in ["rule", *levels[name]]:
             on = on & table[c].eqNullSafe(by[name][c])
         table = table.join(by[name], on, "left").select(table["*"], *(by[name][f"{name}_{x}"] for x in ("n", "q1", "q3")))
-    pick = lambda x: F.when(F.col("own_n") >= enough, F.col(f"own_{x}")).when(F.col("lang_n") >= enough, F.col(f"lang_{x}")).otherwise(F.col(f"all_{x}"))
-    table = table.withColumns({"q1": pick("q1"), "q3": pick("q3")})
+    shared = F.col("rule").isin(SHARED)
+    for x in ("q1", "q3"):
+        table = table.withColumn(f"lang_{x}", F.when(shared, F.expr(f"(lang_n * lang_{x} + {prior} * all_{x}) div (lang_n + {prior})")).otherwise(F.col(f"lang_{x}")))
+        table = table.withColumn(x, F.expr(f"(own_n * own_{x} + {prior} * lang_{x}) div (own_n + {prior})"))
     reach = REACH * (F.col("q3") - F.col("q1"))
     low, high = F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
     for rule, (_, _, below, above) in RULES.items():
@@ -121,13 +129,14 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
 
     A text fails the base rules with fewer than ten words or over a fifth of them in repeated
     windows. Of the others, each language and source (null being one of each) keeps a mergeable
-    sketch of every measure; a text beyond a fence of its group is rejected. A group of fewer than
-    ENOUGH such texts takes its language's fences, a language of fewer those of all texts: there a
-    text's verdict depends on how many of its kind are in the table. Counts are stored once and read twice. Fences join by broadcast up to `few` groups, else by a shuffle. A null
-    text has no words and fails the base rules.
+    sketch of every measure; a text beyond a fence of its group is rejected. One rule holds for
+    groups of any size, see fences(): a small group leans on its language, and a language on all
+    texts, but never in the length of words or in capitals. Counts are stored once and read twice.
+    Fences join by broadcast up to `few` groups, else by a shuffle. A null text has no words and
+    fails the base rules.
     """
     cols = docs.columns if carry is None else carry
-    packed = docs.select(F.struct(*(F.col(c) for c in cols)).alias("row"), text_of(text_col).alias(f"{PRIVATE}text"), F.col(lang_col).alias(f"{PRIVATE}lang"), F.col(source_col).alias(f"{PRIVATE}source"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"), text_of(text_col).alias(f"{PRIVATE}text"), F.col(lang_col).alias(f"{PRIVATE}lang"), F.col(source_col).alias(f"{PRIVATE}source"))
     rows = stored(measure(packed, f"{PRIVATE}text").drop(f"{PRIVATE}text"), "measured")
     table = stored(fences(rows, f"{PRIVATE}lang", f"{PRIVATE}source"), "fences")
     small = F.broadcast(table) if table.count() <= few else table
@@ -153,6 +162,7 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 _BUCKET = "((v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0))"
+_SHARED = ", ".join(f"'{r}'" for r in SHARED)
 _VALUE = {r: f"1000 * {o} // {u}" for r, (o, u, _, _) in RULES.items()}
 SQL = rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -168,8 +178,8 @@ v AS MATERIALIZED ({" UNION ALL ".join(f"SELECT doc_id, lang, source, '{r}' AS r
 k AS MATERIALIZED (SELECT lang, source, rule, {_BUCKET} AS bucket, count(*) AS n FROM v GROUP BY ALL),
 {", ".join(f'''q_{name} AS (SELECT {cols} rule, max(total) AS n, min(bucket) FILTER (WHERE 4 * upto >= total) AS q1, min(bucket) FILTER (WHERE 4 * upto >= 3 * total) AS q3
   FROM (SELECT {cols} rule, bucket, sum(n) OVER (PARTITION BY {cols} rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {cols} rule) AS total FROM (SELECT {cols} rule, bucket, sum(n) AS n FROM k GROUP BY ALL)) GROUP BY ALL)''' for name, cols in (("own", "lang, source,"), ("lang", "lang,"), ("all", "")))},
-q AS (SELECT o.lang, o.source, o.rule, CASE WHEN o.n >= {ENOUGH} THEN o.q1 WHEN l.n >= {ENOUGH} THEN l.q1 ELSE a.q1 END AS q1, CASE WHEN o.n >= {ENOUGH} THEN o.q3 WHEN l.n >= {ENOUGH} THEN l.q3 ELSE a.q3 END AS q3
-  FROM q_own o JOIN q_lang l ON o.rule = l.rule AND o.lang IS NOT DISTINCT FROM l.lang JOIN q_all a ON o.rule = a.rule),
+h AS (SELECT l.lang, l.rule, {", ".join(f"CASE WHEN l.rule IN ({_SHARED}) THEN (l.n * l.{x} + {PRIOR} * a.{x}) // (l.n + {PRIOR}) ELSE l.{x} END AS {x}" for x in ("q1", "q3"))} FROM q_lang l JOIN q_all a USING (rule)),
+q AS (SELECT o.lang, o.source, o.rule, {", ".join(f"(o.n * o.{x} + {PRIOR} * h.{x}) // (o.n + {PRIOR}) AS {x}" for x in ("q1", "q3"))} FROM q_own o JOIN h ON o.rule = h.rule AND o.lang IS NOT DISTINCT FROM h.lang),
 s AS (SELECT * FROM (VALUES {", ".join(f"('{r}', {'NULL::BIGINT' if b is None else b}, {a})" for r, (_, _, b, a) in RULES.items())}) AS x(rule, below, above)),
 bad AS (SELECT DISTINCT v.doc_id FROM v JOIN q ON v.rule = q.rule AND v.lang IS NOT DISTINCT FROM q.lang AND v.source IS NOT DISTINCT FROM q.source JOIN s ON s.rule = v.rule
   WHERE v.v > q3 + {REACH} * (q3 - q1) + above OR v.v < q1 - {REACH} * (q3 - q1) - below)
