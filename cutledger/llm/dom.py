@@ -12,7 +12,7 @@ BLOCKS = set(
     "legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("head script style noscript template textarea title iframe svg math select button object canvas audio video datalist".split())
+HIDDEN = set("head script style noscript template textarea title iframe select button object canvas audio video datalist".split())
 #: Start tags that may stand in a head; any other one, and text, ends it.
 IN_HEAD = set("html head base basefont bgsound link meta title noscript noframes script style template".split())
 #: Blocks that stand in an unseen element and do not end it when its end tag is missing.
@@ -100,7 +100,11 @@ def parse(page: str) -> Node:
     """
     root = Node("html", None)
     here, at, anchor = root, 0, 0
+    # Open blocks from the page down, and the depths at which each kind is open, so that nothing is searched for.
+    chain: list[Node] = []
+    depths: dict[str, list[int]] = {t: [] for t in BLOCKS}
     hidden: list[tuple[str, bool]] = []  # open unseen elements, and whether their end tag is missing
+    unseen = dict.fromkeys(HIDDEN, 0)
     tags = []
     for m in _TAG.finditer(page):
         name = m.group(3) or m.group(6)
@@ -119,9 +123,20 @@ def parse(page: str) -> Node:
             here.children.append(leaf)
         run.clear()
 
+    def close(depth: int) -> None:
+        nonlocal here
+        while len(chain) > depth:
+            depths[chain.pop().tag].pop()
+        here = chain[-1] if chain else root
+
+    def show() -> str:
+        tag = hidden.pop()[0]
+        unseen[tag] -= 1
+        return tag
+
     def add_text(start: int, end: int) -> None:
         if len(hidden) == 1 and hidden[0][0] == "head" and not page[start:end].isspace():
-            hidden.clear()
+            show()
         if not hidden:
             run.append((page[start:end], anchor > 0))
 
@@ -132,17 +147,18 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if hidden:
-            if closing and any(x == tag for x, _ in hidden):
-                while hidden.pop()[0] != tag:
+            if closing and unseen.get(tag):
+                while show() != tag:
                     pass
                 continue
             while hidden and hidden[-1][1] and hidden[-1][0] != "head" and tag in BLOCKS and tag not in OPTIONS:
-                hidden.pop()
+                show()
             if len(hidden) == 1 and hidden[0][0] == "head" and not closing and tag not in IN_HEAD:
-                hidden.clear()
+                show()
         if tag in HIDDEN:
             if not closing and not attrs.endswith("/"):
                 hidden.append((tag, k in missing))
+                unseen[tag] += 1
             continue
         if hidden:
             continue
@@ -156,26 +172,23 @@ def parse(page: str) -> Node:
         if tag == "hr":
             continue
         if closing:
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            if depths[tag]:
+                close(depths[tag][-1])
             continue
         anchor = 0
         if tag == "html":
             continue
         ends, walls = ENDS.get(tag, (set(), set()))
         for these, stop in ((ends, walls), ({"p"}, _WALLS)):
-            up = here
-            while up is not root and up.tag not in these and up.tag not in stop:
-                up = up.parent
-            if up is not root and up.tag in these:
-                here = up.parent
+            last = max((depths[x][-1] for x in these if depths.get(x)), default=-1)
+            if last > max((depths[x][-1] for x in stop if depths.get(x)), default=-1):
+                close(last)
         names = frozenset(x.lower() for g in _NAMES.findall(attrs) for x in _SPLIT.split(" ".join(g)) if x) if attrs else frozenset()
         mark = _MARK.search(attrs) if attrs else None
         node = Node(tag, here, names, int(mark.group(1)) if mark else None)
         here.children.append(node)
+        depths[tag].append(len(chain))
+        chain.append(node)
         here = node
     if at < len(page):
         add_text(at, len(page))

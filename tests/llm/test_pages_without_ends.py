@@ -1,5 +1,7 @@
 """Pages that leave out the end of their head or of an unseen element keep their text."""
 
+import time
+
 import pytest
 
 from cutledger.llm import dom
@@ -29,3 +31,15 @@ CASES = {
 @pytest.mark.parametrize("page", CASES)
 def test_texts(page):
     assert [v.text for v in dom.walk(dom.parse(page)) if v.text is not None] == CASES[page]
+
+
+@pytest.mark.parametrize("page", ["<ul>" * 100_000 + "x" + "</div>" * 100_000, "<p>a" * 50_000 + "<li><ul>" + "<section>" * 50_000 + "<li>b</li>" * 50_000, "<button>" * 60_000 + "</svg>" * 60_000 + "y", "<table><tr><td>" * 40_000])
+def test_deep_and_unmatched_markup_takes_time_in_proportion(page):
+    start = time.time()
+    nodes = dom.walk(dom.parse(page))
+    assert len(nodes) > 0 and time.time() - start < 20
+
+
+def test_formulas_and_drawn_text_stay():
+    page = "<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><svg><title>t</title><style>a</style><text>label</text></svg></article>"
+    assert [v.text for v in dom.walk(dom.parse(page)) if v.text is not None] == ["so x=2 holds", "label"]
