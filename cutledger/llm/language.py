@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
@@ -30,7 +29,6 @@ UNKNOWN, ADDED = 1e-5, 0.05
 LIFT = 50.0
 #: Characters of long runs that go through the steps side by side.
 TOGETHER = 100_000
-_LETTER = re.compile(r"[^\W\d_]")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -321,7 +319,7 @@ def _predict(path: str, langs: list[str], p: np.ndarray, batches: Iterable[pa.Re
         names, scores = [], []
         for a, b in runs([len(x) for x in texts]):
             for text, total in zip(texts[a:b], scorer(texts[a:b]), strict=True):
-                if langs and _LETTER.search(text):
+                if langs and any(map(str.isalpha, text)):
                     best = int(total.argmax())
                     names.append(langs[best])
                     scores.append(float(1 / np.exp(total - total[best]).sum()))
