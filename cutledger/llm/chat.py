@@ -39,7 +39,7 @@ def format_chats(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> D
     starts = F.expr("filter(sequence(0, size(t) - 1), i -> i = 0 OR t[i].role <> t[greatest(i - 1, 0)].role)")
     blocks = chats.withColumn("at", starts).withColumn(
         "blocks",
-        F.expr("transform(at, (a, k) -> struct(t[a].role AS role, slice(t.text, a + 1, coalesce(get(at, k + 1), size(t)) - a) AS texts))"),
+        F.expr("transform(at, (a, k) -> struct(t[a].role AS role, transform(slice(t, a + 1, coalesce(get(at, k + 1), size(t)) - a), x -> x.text) AS texts))"),
     )
     # Every block gives its runs: head, then its texts with marks between, then the end.
     runs = F.transform(
@@ -69,25 +69,34 @@ def _run(text: Column, in_loss: Column) -> Column:
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text) and learned (texts under the mask), from `formatted` and `mask` alone."""
-    messages = F.filter(F.split("formatted", CLOSE), lambda m: m != "")
-    split = chats.withColumn("messages", messages).withColumn(
-        "ends", F.aggregate("mask", F.array(F.lit(0)), lambda a, r: F.concat(a, F.array(F.element_at(a, -1) + r["n_chars"])))
-    )
-    turns = F.flatten(
+    """conv_id, turns (role, text) and learned (texts under the mask), from `formatted` and `mask` alone.
+
+    The string is split at its marks into the same runs that the mask counts: head, texts with
+    marks between, end. Each run is taken once, by its place, so long conversations take time in
+    proportion. A mask whose runs are not those of the string is an error.
+    """
+    messages = F.transform(F.filter(F.split("formatted", CLOSE), lambda m: m != ""), _parted)
+    split = chats.select("conv_id", "formatted", "mask", messages.alias("messages"))
+    role = lambda m: unescape(F.replace(m["head"].substr(F.lit(len(OPEN) + 1), F.length(m["head"]) - len(OPEN) - 1), F.lit("\\n"), F.lit("\n")))
+    turns = F.flatten(F.transform("messages", lambda m: F.zip_with(m["texts"], F.array_repeat(role(m), F.size(m["texts"])), lambda x, r: F.struct(r.alias("role"), unescape(x).alias("text")))))
+    mark = lambda m: F.array_repeat(F.lit(TURN), F.size(m["texts"]))
+    runs = F.flatten(
         F.transform(
             "messages",
-            lambda m: F.transform(
-                F.split(m.substr(F.instr(m, "\n") + 1, F.length(m)), TURN),
-                lambda x: F.struct(
-                    unescape(F.replace(m.substr(F.lit(len(OPEN) + 1), F.instr(m, "\n") - len(OPEN) - 1), F.lit("\\n"), F.lit("\n"))).alias("role"),
-                    unescape(x).alias("text"),
-                ),
-            ),
+            # A mark before every text; that of the first text gives way to the head.
+            lambda m: F.concat(F.array(m["head"]), F.slice(F.flatten(F.zip_with(mark(m), m["texts"], lambda t, x: F.array(t, x))), F.lit(2), 2 * F.size(m["texts"])), F.array(F.lit(CLOSE))),
         )
     )
-    learned = F.expr("filter(transform(mask, (r, i) -> IF(r.in_loss, substring(formatted, ends[i] + 1, r.n_chars), NULL)), x -> x IS NOT NULL)")
-    return split.select("conv_id", turns.alias("turns"), F.transform(learned, unescape).alias("learned"), "formatted")
+    cut = split.select("conv_id", "formatted", turns.alias("turns"), F.zip_with(runs, "mask", lambda x, r: F.struct(x.alias("text"), r.alias("run"))).alias("cut"))
+    fits = F.forall("cut", lambda c: F.length(c["text"]).eqNullSafe(c["run"]["n_chars"]))
+    learned = F.transform(F.filter("cut", lambda c: c["run"]["in_loss"]), lambda c: unescape(c["text"]))
+    return cut.select("conv_id", "turns", F.when(fits, learned).otherwise(F.raise_error(F.lit("the mask does not fit the string"))).alias("learned"), "formatted")
+
+
+def _parted(message: Column) -> Column:
+    """A message's head, with its line feed, and its escaped texts."""
+    n = F.instr(message, "\n")
+    return F.struct(message.substr(F.lit(1), n).alias("head"), F.split(message.substr(n + 1, F.length(message)), TURN).alias("texts"))
 
 
 def query(spark: SparkSession, conversations: DataFrame) -> DataFrame:
