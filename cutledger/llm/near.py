@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutledger.llm.common import KEY, keyed, stored, text_of
+from cutledger.llm.common import KEY, keyed, packed, stored, text_of, without
 from cutledger.llm.components import components
 from cutledger.llm.shingles import mixed, shingle_set, similar
 
@@ -250,6 +250,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     member = signed.select(KEY, "id", "n_shingles", "digest").join(classes, "digest", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     member = stored(member.select(KEY, "id", "n_shingles", F.coalesce("component", "rep", KEY).alias("component")), "members")
     first = member.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col(KEY).alias("key"))).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stored(first, "firsts")  # so that the rows of a large component are split where they meet it
     return member.join(first, "component", "left").select(
         KEY,
         "n_shingles",
@@ -295,10 +296,10 @@ def _checked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of every component; all columns stay as they are."""
-    rows = keyed(docs, id_col)
-    dropped = decide(rows, id_col, text_col).where(~F.col("kept")).select(KEY)
-    return rows.join(dropped, KEY, "left_anti").select(*docs.columns)
+    """`docs` with one row of every component; all columns stay as they are, whatever their names."""
+    rows = keyed(docs.select(packed(docs), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id")
+    dropped = decide(rows, "id").where(~F.col("kept"))
+    return without(rows, dropped).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:
