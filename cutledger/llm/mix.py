@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutledger.llm.common import KEY, keyed, stored, text_of, words
+from cutledger.llm.common import KEY, keyed, packed, stored, text_of, words
 
 WEIGHTS = 3
 MOST = 3
@@ -117,13 +117,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     All columns stay; a cut keeps the white space between its words, and n_chars, where there is
     such a column, says its length.
     """
-    rows = keyed(docs, id_col)
-    taken = plan(rows, text_col, source_col).where("taken > 0").select(KEY, "size", "rounds", "cuts")
+    rows = keyed(docs.select(packed(docs), *(F.col(f"`{c}`").alias(n) for c, n in ((id_col, "id"), (text_col, "text"), (source_col, "source")))), "id")
+    taken = plan(rows).where("taken > 0").select(KEY, "size", "rounds", "cuts")
     whole = F.struct(F.lit(0).cast("bigint").alias("first"), F.col("size").alias("n"))
     # A cut of all words is a whole text.
     takes = F.concat(F.when(F.col("rounds") > 0, F.array_repeat(whole, F.col("rounds").cast("int"))).otherwise(F.array().cast("array<struct<first:bigint,n:bigint>>")), F.col("cuts"))
-    packed = rows.select(KEY, F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
-    out = packed.join(taken, KEY).select("row", "size", F.explode(takes).alias("take"))
+    out = rows.select(KEY, "row").join(taken, KEY).select("row", "size", F.explode(takes).alias("take"))
     run = f"[^{_CLASS}]+[{_CLASS}]*"
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("row")[text_col], F.lit(run), F.lit(0)), (F.col("take.first") + 1).cast("int"), F.col("take.n").cast("int")), "")
     text = F.when(F.col("take.n") == F.col("size"), F.col("row")[text_col]).otherwise(cut)
