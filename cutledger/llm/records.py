@@ -117,6 +117,77 @@ def read(files: DataFrame) -> DataFrame:
     return spread.mapInArrow(_reader, ROWS)
 
 
+def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            store, name = fs.FileSystem.from_uri(path)
+            number = 0
+            with store.open_input_stream(name.removesuffix(".rec") + ".idx", buffer_size=1 << 20) as file:
+                while data := file.read(8 * 100_000):
+                    at = np.frombuffer(data, "<i8")
+                    n = len(at)
+                    yield pa.RecordBatch.from_pydict(
+                        {"part": np.full(n, part), "path": pa.array([path]).take(pa.array(np.zeros(n, np.int32))), "number": np.arange(number, number + n), "at": at}
+                    )
+                    number += n
+
+
+def places(files: DataFrame) -> DataFrame:
+    """Every record of the files as their indexes tell: part, path, number (in its file, from 0), at (byte)."""
+    listed = files.where("n_docs > 0").select(F.col("part").cast("bigint").alias("part"), "path")
+    return listed.repartition("path").mapInArrow(_places, "part bigint, path string, number bigint, at bigint")
+
+
+def _fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, kinds = ["part", "number", "doc_id", "n_tokens", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    opened, file, rows, size = None, None, [], 0
+
+    def out() -> pa.RecordBatch:
+        nonlocal rows, size
+        got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        rows, size = [], 0
+        return got
+
+    for batch in batches:
+        for part, path, number, at in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if path != opened:
+                if file is not None:
+                    file.close()
+                store, name = fs.FileSystem.from_uri(path)
+                opened, file = path, store.open_input_file(name)
+            file.seek(at)
+            payload = payload_at(file)
+            doc, null, width = HEAD.unpack_from(payload)
+            ids = np.frombuffer(payload, f"<u{width}", offset=HEAD.size)
+            rows.append((part, number, None if null else doc, len(ids), ids.astype("<u4").tobytes()))
+            size += 4 * len(ids)
+            if size > 4_000_000:
+                yield out()
+    if file is not None:
+        file.close()
+    if rows:
+        yield out()
+
+
+def fetch(wanted: DataFrame) -> DataFrame:
+    """The given records alone, each by one seek: part, number, doc_id, n_tokens, ids, in the order of `wanted`.
+
+    `wanted` has rows of places(), in any order and as often as they are wanted; a task opens a
+    file again where its rows leave one file for another.
+    """
+    return wanted.select("part", "path", "number", "at").mapInArrow(_fetch, "part bigint, number bigint, doc_id bigint, n_tokens bigint, ids binary")
+
+
+def shuffled(files: DataFrame, seed: str, partitions: int) -> DataFrame:
+    """All records in an order that the seed alone decides: hashes deal the places to `partitions` and sort them there.
+
+    Only places move; each task then reads its records through the index.
+    """
+    turn = F.xxhash64(F.lit(seed), "part", "number")
+    order = places(files).withColumn("turn", turn).repartition(partitions, F.col("turn")).sortWithinPartitions("turn", "part", "number")
+    return fetch(order)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write(documents(spark, sf_dir), scratch_path(spark, "tokens"))
     return read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,14 +23,58 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: Texts made of these alone are cut here as the tokenizer cuts them; all others it cuts itself.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SIMPLE = re.compile(rf"[{_LATIN}!-@\[-`{{-~ \n]*")
+_CUT = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LATIN}]+| ?[0-9]+| ?[!-/:-@\[-`{{-~]+|\n")
+_PROBES = ["then", " then.", " it's", "it'll", " 's", " a1b22", " (x)--", "'tis", " Él", "señor,", " 3.5%", " ½", " naïve's"]
+
+
+def _shown() -> dict[int, str]:
+    """The sign by which the vocabulary writes each byte: itself where it can be seen, else the next free one."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Pieces(dict):
+    """Ids of pieces by the tokenizer's own model, found when first asked for."""
+
+    def __init__(self, model, code: str):
+        self.model, self.code, self.shown = model, code, _shown()
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isascii() and piece != "\n":
+            shown = self.shown[0x20] + piece[1:] if piece[0] == " " else piece
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.shown)
+        ids = self[piece] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
+
+
+class _Words(dict):
+    """Ids of words by the whole tokenizer: with the blank before it, or, behind _FIRST, without."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, key: str) -> bytes:
+        if key == "\n":
+            return self.encoder.line
+        ids = self[key] = self.encoder.ids(key[1:] if key[0] == _FIRST else " " + key)
+        return ids
+
+
 class Encoder:
-    """Encodes whole texts, with a bounded memory of words.
+    """Encodes whole texts, with a bounded memory of pieces and words.
 
     Where words are parted by single blanks and line feeds only, the tokenizer never looks beyond
     a word: a blank belongs to the word after it, a line feed is a piece of its own. So the ids of
-    such a text are those of its words, one after the other, and a word that came before need not
-    be encoded again; new words are encoded together, one to a line. Any other text is encoded as
-    a whole. Ids are little-endian numbers of `dtype`.
+    such a text are those of its words, one after the other. A text of plain letters, digits and
+    signs is cut here into the pieces that the tokenizer's model works on; other words go through
+    the whole tokenizer. What came before need not be encoded again. A text with other white space
+    or with the string of a special token is encoded as a whole. Ids are little-endian numbers of
+    `dtype`.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -37,39 +83,40 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.line = self._ids("\n")
-        self.most, self.known = most, self._empty()
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    def _empty(self) -> dict[str, bytes]:
-        return {"\n": self.line.tobytes(), _FIRST: b""}
-
-    def _learn(self, keys: set[str]) -> None:
-        new = list(keys.difference(self.known))
-        if len(self.known) + len(new) > self.most:
-            self.known = self._empty()
-            new = list(keys.difference(self.known))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            ids = self._ids("\n".join(k[1:] if k[0] == _FIRST else " " + k for k in part))
-            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids)).tolist()
-            start = 0
-            for k, end in zip(part, ends, strict=True):
-                self.known[k] = ids[start:end].tobytes()
-                start = end + 1
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line, self.most = self.ids("\n"), most
+        self.pieces, self.words = _Pieces(self.tokenizer.model, self.dtype.char), _Words(self)
+        # Another vocabulary file may cut otherwise; then nothing is cut here, and where a line feed
+        # is not one id, nothing is parted.
+        self.parts = len(self.line) == self.dtype.itemsize
+        self.cuts = self.parts and all(self._cut(x) == self.ids(x) for x in _PROBES if _SIMPLE.fullmatch(x))
+        self.pieces.clear()
+
+    def ids(self, text: str) -> bytes:
+        return array(self.dtype.char, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _cut(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _CUT.findall(text)))
+
+    def _one(self, text: str) -> bytes:
+        if not self.parts or any(t in text for t in self.special):
+            return self.ids(text)
+        if self.cuts and _SIMPLE.fullmatch(text) and not any(t in text for t in ("  ", "\n\n", " \n", "\n ")) and text.strip(" \n") == text:
+            return self._cut(text)
+        if _FIRST not in text and " ".join(text.split()) == text.replace("\n", " "):
+            keys = (_FIRST + text.replace("\n", f" \n {_FIRST}")).split(" ")
+            return b"".join(map(self.words.__getitem__, keys)) if text else b""
+        return self.ids(text)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
+        out = []
         for x in texts:
-            plain = len(self.line) == 1 and _FIRST not in x and " ".join(x.split()) == x.replace("\n", " ")
-            split.append((_FIRST + x.replace("\n", f" \n {_FIRST}")).split(" ") if plain else None)
-        self._learn(set().union(*filter(None, split)))
-        get = self.known.__getitem__
-        return [self._ids(x).tobytes() if keys is None else b"".join(map(get, keys)) for x, keys in zip(texts, split, strict=True)]
+            out.append(self._one(x))
+            if len(self.pieces) + len(self.words) > self.most:
+                self.pieces.clear()
+                self.words.clear()
+        return out
 
 
 @lru_cache(maxsize=2)

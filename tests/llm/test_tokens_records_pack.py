@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from cutledger.llm import pack, records, tokens
 from cutledger.session import scratch_path
@@ -28,12 +29,26 @@ def test_word_memory_never_changes_ids(texts):
         assert np.frombuffer(got, ENCODER.dtype).tolist() == direct(x)
 
 
+def test_the_string_of_a_special_token_is_one_id():
+    (got,) = ENCODER(["a<|endoftext|>b"])
+    assert np.frombuffer(got, ENCODER.dtype).tolist() == [64, 50256, 65]
+
+
+def test_every_vocabulary_gives_its_own_ids():
+    """A vocabulary that is written otherwise takes no shortcut."""
+    from public_tokenizers import path
+
+    own, plain = tokens.Encoder(path("word_bpe_49k.json")), Tokenizer.from_file(path("word_bpe_49k.json"))
+    texts = ["It's a naïve señor, 12.5", "then then THEN\nthen", ""]
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own(texts)] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_memory_is_bounded():
     e = tokens.Encoder(tokens.vocabulary_path(), most=50)
     for k in range(20):
         text = " ".join(f"w{k}x{i}" for i in range(30))
         assert np.frombuffer(e([text])[0], e.dtype).tolist() == direct(text)
-        assert len(e.known) <= 50
+        assert len(e.pieces) + len(e.words) <= 50
 
 
 def rows():
@@ -75,6 +90,18 @@ def test_index_finds_records_in_any_order_and_broken_ones_are_seen(spark, docs):
         records.payload_at(f)
 
 
+def test_single_records_through_the_index_in_any_order(spark, docs):
+    files = records.write(docs, scratch_path(spark, "t"))
+    whole = {r.doc_id: bytes(r.ids) for r in records.read(files).collect()}
+    places = records.places(files)
+    assert places.count() == len(rows())
+    some = places.filter("number % 7 = 3").orderBy(F.desc("at"))
+    got = records.fetch(some).collect()
+    assert 0 < len(got) == some.count() and all(whole[r.doc_id] == bytes(r.ids) and 4 * r.n_tokens == len(r.ids) for r in got)
+    orders = [[r.doc_id for r in records.shuffled(files, seed, 4).collect()] for seed in ("a", "a", "b")]
+    assert orders[0] == orders[1] != orders[2] and sorted(orders[0]) == sorted(orders[2]) == sorted(whole)
+
+
 def test_records_with_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "n", 0, ""), (1, "b", 0, ""), (1, "a", 0, ""), (1, "a", 0, "")], DOCS)
     got = sorted(records.read(records.write(df, scratch_path(spark, "t"))).collect(), key=lambda r: r.start)
