@@ -303,7 +303,6 @@ def top_similar(
     b_cols = {"until": F.coalesce("until", F.lit(FREE)).cast("bigint") if has["until"] else F.lit(FREE).cast("bigint")}
     a = materialize(_vector_blocks(new, group, block, a_cols, "a"))
     b = materialize(_vector_blocks(master, group, block, b_cols, "b"))
-    centres = materialize(_centres(b, group))
     kinds = dict(new.dtypes) | {"item": dict(master.dtypes)["id"]}
     keys = ", ".join(f"{g} {kinds[g]}" for g in group)
 
@@ -338,7 +337,7 @@ def top_similar(
             for *g, va, low, vb in pdf.itertuples(index=False, name=None):
                 s = _scored(va, vb, _unit(va) @ _unit(vb).T)
                 pos_b, out = np.array([v["pos"] for v in vb]), []
-                least = np.maximum(np.array(low), -np.finfo(float).max if floor is None else floor)
+                least = np.maximum(np.full(len(va), -np.inf) if low is None else np.array(low), -np.finfo(float).max if floor is None else floor)
                 for i, v in enumerate(va):
                     hit = np.flatnonzero(s[i] >= least[i])
                     if len(hit) > v["k"]:
@@ -347,19 +346,24 @@ def top_similar(
                         out.append((*g, v["id"], vb[j]["id"], pos_b[j], float(s[i, j]), v["k"]))
                 yield pd.DataFrame(out, columns=[*group, "proposer", "item", "item_pos", "score", "k"])
 
-    met = a.join(centres, group).select(*group, "_ba", "_va", "_c").mapInPandas(nearest, f"{keys}, _ba bigint, _bb bigint, near double")
-    w = Window.partitionBy(*group, "_ba").orderBy(F.desc("near"), "_bb")
-    first = met.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= LOOKS).select(*group, "_ba", "_bb")
-    pair = lambda ids: ids.join(a, [*group, "_ba"]).join(b, [*group, "_bb"])
-    seen = pair(first).select(*group, "_ba", "_va", "_vb").mapInPandas(kth, f"{keys}, _ba bigint, low array<double>")
-    highest = F.reduce(F.collect_list("low"), F.array().cast("array<double>"), lambda x, y: F.zip_with(x, y, lambda p, q: F.greatest(F.coalesce(p, q), q)))
-    lows = materialize(seen.groupBy(*group, "_ba").agg(highest.alias("low")))
-    noted = a.join(lows, [*group, "_ba"])
-    ids = noted.join(centres, group).select(*group, "_ba", "_va", "low", "_c").mapInPandas(open_blocks, f"{keys}, _ba bigint, _bb bigint")
-    ids = materialize(ids)
+    every = a.select(*group, "_ba").join(b.select(*group, "_bb"), group)
+    if (b.agg(F.max("_bb")).first()[0] or 0) < LOOKS:
+        # A first look would multiply all blocks; they are multiplied once.
+        noted, ids = a.withColumn("low", F.lit(None).cast("array<double>")), every
+    else:
+        centres = materialize(_centres(b, group))
+        met = a.join(centres, group).select(*group, "_ba", "_va", "_c").mapInPandas(nearest, f"{keys}, _ba bigint, _bb bigint, near double")
+        w = Window.partitionBy(*group, "_ba").orderBy(F.desc("near"), "_bb")
+        first = met.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= LOOKS).select(*group, "_ba", "_bb")
+        pair = lambda ids: ids.join(a, [*group, "_ba"]).join(b, [*group, "_bb"])
+        seen = pair(first).select(*group, "_ba", "_va", "_vb").mapInPandas(kth, f"{keys}, _ba bigint, low array<double>")
+        highest = F.reduce(F.collect_list("low"), F.array().cast("array<double>"), lambda x, y: F.zip_with(x, y, lambda p, q: F.greatest(F.coalesce(p, q), q)))
+        lows = materialize(seen.groupBy(*group, "_ba").agg(highest.alias("low")))
+        noted = a.join(lows, [*group, "_ba"])
+        ids = noted.join(centres, group).select(*group, "_ba", "_va", "low", "_c").mapInPandas(open_blocks, f"{keys}, _ba bigint, _bb bigint")
+        ids = materialize(ids)
     if tallies is not None:
-        every = a.select(*group, "_ba").join(b.select(*group, "_bb"), group).count()
-        tallies.append((ids.count(), every))
+        tallies.append((ids.count(), every.count()))
     work = ids.join(noted, [*group, "_ba"]).join(b, [*group, "_bb"])
     schema = f"{keys}, proposer {kinds['id']}, item {kinds['item']}, item_pos bigint, score double, k int"
     pairs = work.select(*group, "_va", "low", "_vb").mapInPandas(best, schema)
