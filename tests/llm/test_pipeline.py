@@ -87,4 +87,4 @@ def test_oracles(spark, name):
 
 
 def test_registered():
-    assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries()) and len(queries.QUERIES) == 10
+    assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries()) and len(queries.QUERIES) == 13
