@@ -36,7 +36,7 @@ def stream(spark: SparkSession, path: str, checkpoint: str, sink: str, cuts: Dat
         some = [tuple(r) for r in touched.collect()]  # no more than there are files in a batch
         fresh = dict(zip(("arrived", "unread"), scenes.parse(batch), strict=True))
         for name, rows in fresh.items():
-            rows = _keyed(rows).withColumn("batch", F.lit(batch_id))
+            rows = _keyed(rows).withColumn("batch", F.lit(batch_id)).hint("rebalance", *K)
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*K, "batch").parquet(f"{sink}/{name}")
         so_far = [_so_far(own, f"{sink}/{name}", rows, batch_id, some) for name, rows in fresh.items()]
         shots, rejects = scenes.key_shots(*so_far, cuts)
