@@ -57,3 +57,19 @@ def test_no_window_holds_a_whole_group(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     on_rows = [l for l in plan.splitlines() if "Window [" in l and "_l_" in l]
     assert on_rows and all("_b0" in l for l in on_rows)
+
+
+def test_the_size_check_of_a_lookup_counts_the_repeats(spark, tmp_path):
+    """A table that would be broadcast alone, but not once per salt, goes by shuffles."""
+    path = str(tmp_path / "right")
+    spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 7).alias("w")).coalesce(1).write.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "right").glob("*.parquet"))
+    left = spark.range(5000).select((F.col("id") % 3).alias("k"), F.col("id").alias("i"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size * 3)
+    try:
+        got = ordered.salted_lookup(left, spark.read.parquet(path), ["k"], ["i"])
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got.filter("w = k * 7").count() == 5000
