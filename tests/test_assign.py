@@ -197,3 +197,13 @@ def test_rounds_do_not_grow_with_the_group(spark, caplog):
         took.append(len([r for r in caplog.records if "open" in r.message]))
         assert got == loop(new, master, sim)[0]
     assert max(took) <= 4
+
+
+def test_staging_sends_no_proposals_to_the_driver(spark):
+    found = spark.createDataFrame([(1, "a", 1, "C", "VISUAL")], "show_id bigint, tcid string, master_row bigint, master_code string, tier string")
+    left = spark.createDataFrame([(1, "b", "NEW")], "show_id bigint, tcid string, tier string")
+    review = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c")], "show_id bigint, tcid string")
+    got = A.stage_review(found, left, review)
+    joins = [l for l in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in l]
+    assert any("strategy=merge" in l for l in joins)
+    assert sorted((r["tcid"], r["match_tier"]) for r in got.collect()) == [("a", "VISUAL"), ("b", "NEW"), ("c", None)]
