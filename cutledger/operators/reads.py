@@ -15,44 +15,41 @@ SHOT = [*K, "tcid"]
 
 
 def _by_position(frame_reads: DataFrame, field: str, value: Column) -> DataFrame:
-    """One row per shot with a column per position, in one shuffle and map-side combined.
+    """One row per shot with a column per position, in one shuffle.
 
-    Anything costly in ``value`` runs once per read, before the aggregation.
+    Reads are dealt out before they are grouped: a shot has too few of them to gain from combining on
+    the map side, where texts would be sorted, all rows of a task at once.
     """
-    reads = frame_reads.filter(F.col("field") == field).select(*SHOT, "pos", value.alias("_v"))
+    reads = frame_reads.filter(F.col("field") == field).select(*SHOT, "pos", value.alias("_v")).repartition(*SHOT)
     at = [F.max(F.when(F.col("pos") == p, F.col("_v"))).alias(p) for p in POSITIONS]
     return reads.groupBy(*SHOT).agg(*at)
 
 
 def slate_votes(frame_reads: DataFrame) -> DataFrame:
     """Modal (scene, slate) of the three reads; ties go to middle, start, end."""
-    raw = F.coalesce(F.col("raw"), F.lit(""))
-    wide = _by_position(frame_reads, "slate", F.struct(raw.alias("raw"), g.slate_line(raw).alias("p")))
-    nothing = F.struct(
-        F.lit("").alias("scene"), F.lit(None).cast("string").alias("slate"), F.lit("").alias("take"), F.lit("").alias("extra")
-    )
-    parsed = wide.select(
+    wide = _by_position(frame_reads, "slate", F.coalesce(F.col("raw"), F.lit("")))
+    lines = F.transform(F.array(*POSITIONS), g.slate_line)
+    parsed = wide.withColumn("_p", lines).select(
         *SHOT,
-        *[F.coalesce(f"{p}.raw", F.lit("")).alias(f"raw_{p}") for p in POSITIONS],
-        *[F.coalesce(f"{p}.p", nothing).alias(f"p_{p}") for p in POSITIONS],
+        *[F.coalesce(p, F.lit("")).alias(f"raw_{p}") for p in POSITIONS],
+        *[F.get("_p", F.lit(i)).alias(f"p_{p}") for i, p in enumerate(POSITIONS)],
     )
-    order = F.array("p_mid", "p_start", "p_end")
-    cands = F.filter(order, lambda r: r["slate"].isNotNull())
-
-    def same(all_: Column, r: Column) -> Column:
-        return F.size(F.filter(all_, lambda o: (o["scene"] == r["scene"]) & (o["slate"] == r["slate"])))
-
-    voted = parsed.withColumn("_c", cands).withColumn(
-        "_best",
-        F.get(
-            F.filter(
-                "_c",
-                lambda r: same(F.col("_c"), r) == F.array_max(F.transform("_c", lambda o: same(F.col("_c"), o))),
-            ),
-            F.lit(0),
-        ),
+    here = {p: F.col(f"p_{p}.slate").isNotNull() for p in POSITIONS}
+
+    def same(x: str, y: str) -> Column:
+        a, b = F.col(f"p_{x}"), F.col(f"p_{y}")
+        return F.coalesce((a["scene"] == b["scene"]) & (a["slate"] == b["slate"]), F.lit(False))
+
+    # Of three reads, the middle one wins unless the other two agree against it, or it has no slate.
+    best = (
+        F.when(same("mid", "start") | same("mid", "end"), F.col("p_mid"))
+        .when(same("start", "end"), F.col("p_start"))
+        .when(here["mid"], F.col("p_mid"))
+        .when(here["start"], F.col("p_start"))
+        .when(here["end"], F.col("p_end"))
     )
-    n = F.size("_c")
+    voted = parsed.withColumn("_best", best)
+    n = sum(here[p].cast("int") for p in POSITIONS)
     some_text = F.greatest(*[F.length(F.coalesce(F.col(f"raw_{p}"), F.lit(""))) for p in POSITIONS]) > 0
     take = F.coalesce(F.col("_best.take"), F.lit(""))
     return voted.select(
@@ -60,7 +57,7 @@ def slate_votes(frame_reads: DataFrame) -> DataFrame:
         F.coalesce("_best.scene", F.lit("")).alias("scene"),
         F.coalesce("_best.slate", F.lit("")).alias("slate"),
         take.alias("take_roman"),
-        F.when(take == "", 0).otherwise(g.roman_take(take)["value"]).alias("take_int"),
+        F.when(take == "", 0).otherwise(g.roman_value(take)).alias("take_int"),
         F.when(n >= 2, "OK").when((n == 1) | some_text, "SUSPECT").otherwise("BLANK").alias("tier"),
         n.alias("n_slate_frames"),
         *[F.col(f"p_{p}.scene").alias(f"{p}_scene") for p in POSITIONS],

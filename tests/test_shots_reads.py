@@ -219,3 +219,39 @@ def test_split_and_merge_read_the_table_few_times(spark, monkeypatch):
     table, changes, rejects = S.merge(shots, pairs)
     assert counted[0][1] <= 3 and counted[0][0] + exchanges(table)[0] <= 15
     assert changes.count() == 8 and table.count() == 32
+
+
+def test_votes_sort_no_texts_before_they_are_dealt_out(spark):
+    reads = spark.createDataFrame([(1, 1, "a", "mid", "slate", "1/2/I")], "show_id bigint, cut_id bigint, tcid string, pos string, field string, raw string")
+    plan = R.slate_votes(reads)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    dealt = next(i for i, l in enumerate(plan) if "RepartitionByExpression" in l or "Exchange" in l)
+    assert not any("Aggregate" in l for l in plan[dealt:])
+
+
+def test_the_middle_read_wins_unless_the_others_agree(spark):
+    raws = {"a": ("1/2/I", "1/3/I", "1/2/II"), "b": ("1/2/I", "1/3/I", "1/4/I"), "c": ("1/2/I", "x", "1/4/I"), "d": ("x", "", "1/4/I")}
+    rows_ = [(1, 1, k, p, "slate", raw) for k, v in raws.items() for p, raw in zip(("start", "mid", "end"), v)]
+    got = R.slate_votes(spark.createDataFrame(rows_, "show_id bigint, cut_id bigint, tcid string, pos string, field string, raw string"))
+    assert {r["tcid"]: (r["slate"], r["take_int"]) for r in got.collect()} == {"a": ("2", 1), "b": ("3", 1), "c": ("2", 1), "d": ("4", 1)}
+
+
+def test_boundary_findings_come_from_one_pass(spark):
+    s = spark.createDataFrame([(1, 1, "a", 1, 9)], "show_id bigint, cut_id bigint, tcid string, seq bigint, len_frames bigint")
+    slates = spark.createDataFrame(
+        [(1, 1, "a", *["1"] * 7)], "show_id bigint, cut_id bigint, tcid string, slate string, take_roman string, start_slate string, end_slate string, raw_start string, raw_mid string, raw_end string"
+    )
+    mads = spark.createDataFrame([(1, 1, "a", 1.0, 1.0, 1.0)], "show_id bigint, cut_id bigint, tcid string, d_prev double, d_startmid double, d_midend double")
+    found = qc.boundaries(s, slates, mads)
+    notes = s.select("show_id", "cut_id", "tcid", F.lit("swish pan").alias("vfx_note"))
+    plan = qc.suppress(found, notes, s)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lag(") == 2  # of blocks and inside them
+
+
+def test_one_edit_for_shots_and_reads(spark, monkeypatch):
+    from cutledger.plans import changes, derive, reads
+
+    made, plain = [], derive.edit
+    monkeypatch.setattr(derive, "edit", lambda *a: made.append(1) or plain(*a))
+    changes._extras(spark, "/root/testdata/sf0.001")
+    reads._boundary_inputs(spark, "/root/testdata/sf0.001")
+    assert len(made) == 2
