@@ -132,3 +132,13 @@ def test_names_grow_without_a_window_that_collects(spark):
     assert all(set(names[c]) <= set(names[c + 1]) for c in range(2))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert not any("collect" in line and "windowspec" in line for line in plan.splitlines())
+
+
+def test_a_note_with_a_clearly_new_word_leaves_no_words_to_look_at(spark, monkeypatch):
+    looked, plain = [], changes.misspelt
+    monkeypatch.setattr(changes, "misspelt", lambda words, *a: looked.append(words.select("id", "word").collect()) or plain(words, *a))
+    old = spark.createDataFrame([(1, "smoke over water"), (2, "smoke over water")], "id bigint, note string")
+    new = spark.createDataFrame([(1, "smoke over castles", False), (2, "smoke over watxr", False)], "id bigint, note string, shaky boolean")
+    got = {r.id: r.status for r in changes.reconcile_notes(old, new, ["id"]).collect()}
+    assert got == {1: "changed", 2: "held"}
+    assert [tuple(r) for r in looked[0]] == [(2, "WATXR")]
