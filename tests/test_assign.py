@@ -207,3 +207,20 @@ def test_staging_sends_no_proposals_to_the_driver(spark):
     joins = [l for l in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in l]
     assert any("strategy=merge" in l for l in joins)
     assert sorted((r["tcid"], r["match_tier"]) for r in got.collect()) == [("a", "VISUAL"), ("b", "NEW"), ("c", None)]
+
+
+def test_vectors_are_looked_up_for_rows_that_take_part_alone(spark, monkeypatch):
+    """The choice of rows lies below the join with the pictures, for both sides."""
+    made, plain = [], A.materialize
+    monkeypatch.setattr(A, "materialize", lambda df: made.append(df) or plain(df))
+    new = spark.createDataFrame([(1, "a", "SHW_0000_01_010", 1), (1, "b", "SHW_0002_01_010", 2)], "show_id bigint, tcid string, code string, input_pos bigint")
+    master = spark.createDataFrame([(1, 5, "SHW_0009_01_010", 1)], "show_id bigint, row bigint, code string, input_pos bigint")
+    e = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id bigint, vec array<double>")
+    vec = lambda side, key: side.withColumn("vec_id", side["input_pos"] % 2).join(e, "vec_id").select("show_id", key, "vec")
+    got = A.visual_by_vector(new, master, vec(new, "tcid"), vec(master, "row"))
+    assert [(r["tcid"], r["master_row"]) for r in got.collect()] == [("a", 5)]
+    seen = [df._jdf.queryExecution().optimizedPlan().toString().splitlines() for df in made if "vec" in df.columns and "since" not in df.columns and "k" not in df.columns]
+    assert len(seen) == 2
+    for plan in seen:
+        at = {kind: [len(l) - len(l.lstrip(" :+-")) for l in plan if kind in l] for kind in ("Join LeftSemi", "Join Inner")}
+        assert at["Join LeftSemi"] and max(at["Join LeftSemi"]) > max(at["Join Inner"])
