@@ -322,7 +322,7 @@ def _drawn(spark, sf):
     """
     e = d.table(spark, sf, "embeddings").repartition(spark.sparkContext.defaultParallelism)
     e = e.select(F.col("label").cast("bigint").alias("show_id"), F.lit(1).cast("bigint").alias("cut_id"), "vec_id", "embedding")
-    return e.mapInPandas(_draw, _PICTURES)
+    return e.mapInArrow(vision.by_slices(_draw, _PICTURES), _PICTURES)
 
 
 _PICTURES = "show_id bigint, cut_id bigint, folder string, tcid string, pos string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
@@ -414,7 +414,7 @@ def _recut(spark, sf):
     other = F.transform("embedding", lambda x: F.negative(x))
     drawn = both.select(*K, "vec_id", F.when(new & (F.col("kind") == "other"), other).otherwise(F.col("embedding")).alias("embedding"))
     path = scratch_path(spark, "two-cuts")
-    artifacts.write_images(drawn.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_draw, _PICTURES), path)
+    artifacts.write_images(drawn.repartition(spark.sparkContext.defaultParallelism).mapInArrow(vision.by_slices(_draw, _PICTURES), _PICTURES), path)
     return d.stored(shots), d.stored(vision.fingerprints(artifacts.scan_images(spark, path)))
 
 

@@ -154,3 +154,20 @@ def test_walk_carries_over_blocks_without_rows_and_columns_have_no_gaps(spark):
     df = spark.createDataFrame(v, "show_id bigint, cut_id bigint, code string, order bigint, vec array<double>")
     for block in (2, 100):
         assert sorted((r["order"], r["column"]) for r in wall.walk(df, 0.75, block).collect()) == [(0, 0), (1, 1), (4, 2), (5, 3)]
+
+
+def test_pictures_are_taken_from_a_batch_a_few_at_a_time(spark):
+    import pyarrow as pa
+
+    seen = []
+
+    def run(batches):
+        for pdf in batches:
+            seen.append(len(pdf))
+            yield pdf
+
+    batch = pa.RecordBatch.from_pydict({"n": pa.array(range(1000), pa.int64()), "v": [[1.0]] * 1000})
+    got = list(V.by_slices(run, "n bigint, v array<double>")(iter([batch])))
+    assert max(seen) <= V.PICTURES and [x for b in got for x in b["n"].to_pylist()] == list(range(1000))
+    for name in ("image_features", "tiles", "gray_differences"):
+        assert "mapInPandas" not in getattr(V, name).__code__.co_names
