@@ -142,3 +142,12 @@ def test_a_note_with_a_clearly_new_word_leaves_no_words_to_look_at(spark, monkey
     got = {r.id: r.status for r in changes.reconcile_notes(old, new, ["id"]).collect()}
     assert got == {1: "changed", 2: "held"}
     assert [tuple(r) for r in looked[0]] == [(2, "WATXR")]
+
+
+def test_pieces_of_words_are_not_broadcast(spark, tmp_path):
+    path = str(tmp_path / "words")
+    spark.createDataFrame([(1, "water")], "id bigint, word string").write.parquet(path)
+    w = spark.read.parquet(path)
+    met = changes.misspelt(w, w, ["id"])
+    assert "BroadcastHashJoin" not in met._jdf.queryExecution().sparkPlan().toString()
+    assert [tuple(r) for r in met.collect()] == [(1, "water")]
