@@ -224,3 +224,25 @@ def test_vectors_are_looked_up_for_rows_that_take_part_alone(spark, monkeypatch)
     for plan in seen:
         at = {kind: [len(l) - len(l.lstrip(" :+-")) for l in plan if kind in l] for kind in ("Join LeftSemi", "Join Inner")}
         assert at["Join LeftSemi"] and max(at["Join LeftSemi"]) > max(at["Join Inner"])
+
+
+def test_the_tiers_carry_only_what_they_read(spark, monkeypatch):
+    new = spark.createDataFrame([(1, "a", "S_1_1_1", 1, 9), (1, "b", "S_2_1_1", 2, 9), (1, "c", "", 3, 9)], "show_id bigint, tcid string, code string, input_pos bigint, len_frames bigint")
+    master = spark.createDataFrame([(1, 5, "S_1_1_1", "", 1, 9), (1, 6, "S_2_1_7", "", 2, 9)], "show_id bigint, row bigint, code string, revision string, input_pos bigint, len_frames bigint")
+    kept, plain = [], A.materialize
+    monkeypatch.setattr(A, "materialize", lambda df: kept.append(df.columns) or plain(df))
+    found, left, omits = A.assign(new, master)
+    assert not any("len_frames" in cols for cols in kept)
+    assert sum("tcid" in cols and "code" in cols for cols in kept) == 1
+    assert sorted((r.tcid, r.master_row, r.tier) for r in found.collect()) == [("a", 5, "EXACT-CODE"), ("b", 6, "ORDINAL")]
+    assert [tuple(r) for r in left.collect()] == [(1, "c", "NEW")] and omits.count() == 0
+
+
+def test_a_running_sum_moves_no_column_per_measure(spark):
+    from cutledger.operators import ordered
+
+    df = spark.range(10).selectExpr("id % 2 AS k", "id", "id * 2 AS len")
+    got = ordered.running(df, ["k"], ["id"], {"n": A.F.lit(1).cast("bigint"), "at": A.F.col("len")})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_m_n" not in plan and "_m_at" not in plan
+    assert [tuple(r) for r in got.filter("id in (0, 5, 9)").select("id", "n", "at").orderBy("id").collect()] == [(0, 0, 0), (5, 2, 8), (9, 4, 32)]
