@@ -246,3 +246,27 @@ def test_a_running_sum_moves_no_column_per_measure(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "_m_n" not in plan and "_m_at" not in plan
     assert [tuple(r) for r in got.filter("id in (0, 5, 9)").select("id", "n", "at").orderBy("id").collect()] == [(0, 0, 0), (5, 2, 8), (9, 4, 32)]
+
+
+def test_coded_tiers_take_one_deal_of_both_sides(spark, monkeypatch):
+    new = [(f"t{i}", f"SHW_{i % 3:04d}_01_{i:03d}") for i in range(12)]
+    master = [(i, f"SHW_{i % 3:04d}_02_{i:03d}", "") for i in range(9)]
+    plans, plain = [], A.materialize
+    monkeypatch.setattr(A, "materialize", lambda df: ("tier" in df.columns and plans.append(df._jdf.queryExecution().executedPlan().toString())) or plain(df))
+    assert as_dict(A.assign(*tables(spark, new, master))[0]) == loop(new, master)[0]
+    assert len(plans) == 1 and "Join" not in plans[0] and plans[0].count("Exchange hashpartitioning") == 1
+
+
+def test_crowded_slates_and_repeated_ids_are_assigned_by_joins(spark, rows):
+    """Show 2 has a row number twice, show 3 an id twice; a show that is missing meets nothing."""
+    rng = random.Random(11)
+    code = lambda: rng.choice(["", "tmp"]) if rng.random() < 0.2 else f"SHW_{rng.randrange(3):04d}_{rng.randrange(1, 3):02d}_{rng.randrange(1, 9) * 10:03d}"
+    new = [(s, f"t{i:02d}" if (s, i) != (3, 5) else "t04", code(), i) for s in (1, 2, 3, None) for i in range(24)]
+    master = [(s, i if (s, i) != (2, 5) else 4, code(), rng.choice(["", "manual"]), i) for s in (1, 2, 3, None) for i in range(18)]
+    n = spark.createDataFrame(new, "show_id bigint, tcid string, code string, input_pos bigint")
+    m = spark.createDataFrame(master, "show_id bigint, row bigint, code string, revision string, input_pos bigint")
+    want = [rows(x) for x in A._assign_stepwise(*(A._parsed(x) for x in (n, m)), None, None)]
+    for crowd in (4, 1000):
+        assert [rows(x, *w) for x, w in zip(A.assign(n, m, crowd=crowd), (A.MATCH, ["show_id", "tcid", "tier"], ["show_id", "row"]))] == want
+    assert {tuple(r) for r in A._uncommon(*(A._parsed(x) for x in (n, m)), 1000).collect()} == {(2,), (3,)}
+    assert any(r[0] is None for r in want[1]) and any(r[0] is None for r in want[2]) and all(r[0] for r in want[0])
