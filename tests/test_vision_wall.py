@@ -171,3 +171,17 @@ def test_pictures_are_taken_from_a_batch_a_few_at_a_time(spark):
     assert max(seen) <= V.PICTURES and [x for b in got for x in b["n"].to_pylist()] == list(range(1000))
     for name in ("image_features", "tiles", "gray_differences"):
         assert "mapInPandas" not in getattr(V, name).__code__.co_names
+
+
+def test_gray_differences_make_their_pictures_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    schema = f"{K}, tcid string, seq bigint, g_start binary, g_mid binary, g_end binary"
+    df = spark.createDataFrame([(1, 1, f"{i:02d}", i, bytes([i] * 4), None, bytes([i + 1] * 4)) for i in range(12)], schema)
+    got = {r["tcid"]: r["d_prev"] for r in V.gray_differences(df.mapInPandas(run, schema)).collect()}
+    assert got == {"00": None} | {f"{i:02d}": 0.0 for i in range(1, 12)} and made.value == 12
