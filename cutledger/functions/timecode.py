@@ -19,7 +19,7 @@ def nominal(fps: str | Column) -> Column:
 
 
 def _parts(tc: str | Column) -> Column:
-    return F.split(F.regexp_replace(F.trim(_c(tc)), "^'+", ""), "[:;]")
+    return F.split(F.translate(F.ltrim(F.trim(_c(tc)), F.lit("'")), ";", ":"), ":")
 
 
 def tc_seconds(tc: str | Column) -> Column:

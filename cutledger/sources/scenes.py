@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutledger.functions import timecode as tc
@@ -44,14 +46,21 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     first = F.trim(F.replace(F.substring_index("value", ",", 1), F.lit('"'), F.lit("")))
     heads = lines.filter(first == HEADER[0]).groupBy("path").agg(F.min(cells_of(F.col("value"))).alias("_head"))
-    rows = lines.filter(first.rlike(r"^[0-9]+$")).withColumn("_cells", cells_of(F.col("value")))
+    # Where each column stands is looked up once per file; of a line only the cells asked for are cleaned.
+    place = [F.array_position("_head", F.lit(name)).cast("int").alias(name) for name in HEADER]
+    heads = heads.select("path", F.struct(*place).alias("_at"))
+    quoted = F.contains("value", F.lit('"'))
+    rows = lines.filter(first.rlike(r"^[0-9]+$")).withColumns(
+        {"_quoted": quoted, "_cells": F.when(quoted, cells_of(F.col("value"))).otherwise(F.split("value", ","))}
+    )
     rows = ordered.salted_lookup(rows, heads, ["path"], ["value"])
 
     def cell(name: str) -> Column:
-        at = F.array_position("_head", F.lit(name))
-        return F.when(at > 0, F.get("_cells", (at - 1).cast("int")))
+        at = F.col("_at")[name]
+        got = F.get("_cells", at - 1)
+        return F.when(at > 0, F.when(F.col("_quoted"), got).otherwise(F.trim(got)))
 
-    good = rows.filter(F.col("_head").isNotNull())
+    good = rows.filter(F.col("_at").isNotNull())
     shots = good.select(
         "path",
         cell("Scene Number").try_cast("bigint").alias("seq"),
@@ -99,25 +108,41 @@ def scan_scenes(
 
 
 def key_shots(shots: DataFrame, rejects: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    keyed = shots.withColumns(
-        {k: F.regexp_extract("path", CUT_KEY, i + 1).cast("bigint") for i, k in enumerate(K)}
-    )
-    rows = ordered.salted_lookup(keyed, cuts.select(*K, "fps"), K, ["seq"])
-    unknown = rows.filter(F.col("fps").isNull()).select("path", F.lit("unknown frame rate").alias("reason"))
-    rows = rows.filter(F.col("fps").isNotNull()).withColumn("tcid", tc.tcid_from_tc("start_tc", F.col("fps")))
-    twice = rows.groupBy(*K, "tcid").count().filter(F.col("count") > 1).select(*K, "tcid")
-    good = rows.join(twice, [*K, "tcid"], "left_anti")
-    dup = rows.join(twice, [*K, "tcid"], "left_semi").select("path", F.concat(F.lit("duplicate tcid "), "tcid").alias("reason"))
+    return parted(judged(shots, cuts), rejects)
+
+
+def judged(shots: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Parsed rows with cut, rate and tcid, and ``_why`` a row cannot be a shot, null where it can."""
+    rows = shots.withColumns({k: F.regexp_extract("path", CUT_KEY, i + 1).cast("bigint") for i, k in enumerate(K)})
+    rows = ordered.salted_lookup(rows, cuts.select(*K, "fps"), K, ["seq"])
+    rows = rows.withColumn("tcid", tc.tcid_from_tc("start_tc", F.col("fps")))
+    # A row without a full key is like no other, and one without a rate has no key.
+    unknown = F.col("fps").isNull()
+    full = F.col("show_id").isNotNull() & F.col("cut_id").isNotNull() & F.col("tcid").isNotNull()
+    twice = full & (F.count("*").over(Window.partitionBy(*K, "tcid", unknown)) > 1)
+    why = F.when(unknown, F.lit("unknown frame rate")).when(twice, F.concat(F.lit("duplicate tcid "), "tcid"))
+    return rows.withColumn("_why", why)
+
+
+def parted(rows: DataFrame, rejects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Shots, and the rejects with those of the judged rows."""
     cols = [*K, "tcid", "seq", "start_frame", "end_frame", "len_frames", "start_s", "end_s", "start_tc", "end_tc", "duration_s", "fps"]
-    return good.select(*cols), rejects.unionByName(dup).unionByName(unknown)
+    good, bad = rows.filter(F.col("_why").isNull()), rows.filter(F.col("_why").isNotNull())
+    return good.select(*cols), rejects.unionByName(bad.select("path", F.col("_why").alias("reason")))
 
 
 def write_scenes(shots: DataFrame, path: str, block: int = ordered.BLOCK_ROWS) -> None:
     """Write scene lists below ``path``, one folder per cut.
 
     A file holds up to ``block`` shots behind its own header, so a long cut is several files and
-    no task writes a whole cut of unbounded size. ``shots`` carry seconds and timecodes.
+    no task writes a whole cut of unbounded size. ``shots`` carry seconds and timecodes. Tasks write
+    their files themselves, one after the other, so a library of many cuts costs no job step per
+    file; a task that is repeated writes the same files again.
     """
+    store, root = fs.FileSystem.from_uri(path)
+    if store.get_file_info(root).type != fs.FileType.NotFound:
+        raise FileExistsError(path)
+    store.create_dir(root, recursive=True)
     three = lambda c: F.format_string("%.3f", c)
     line = F.concat_ws(
         ",",
@@ -132,11 +157,31 @@ def write_scenes(shots: DataFrame, path: str, block: int = ordered.BLOCK_ROWS) -
         tc.seconds_tc("duration_s"),
         three("duration_s"),
     )
-    blk = F.floor((F.col("seq") - 1) / block)
-    body = shots.select(*K, blk.alias("blk"), F.col("seq").alias("n"), line.alias("value"))
-    tops = body.select(*K, "blk").distinct()
-    pre = tops.select(*K, "blk", F.lit(-1).alias("n"), F.lit("Timecode List:").alias("value"))
-    head = tops.select(*K, "blk", F.lit(0).alias("n"), F.lit(",".join(HEADER)).alias("value"))
-    out = body.unionByName(pre).unionByName(head)
-    files = out.repartition(*K, "blk").sortWithinPartitions(*K, "blk", "n")
-    files.withColumn("block", F.col("blk")).select(*K, "block", "value").write.partitionBy(*K, "block").text(path)
+    blk = F.floor((F.col("seq") - 1) / block).alias("block")
+    body = shots.select(*K, blk, F.col("seq").alias("n"), line.alias("value"))
+    files = body.repartition(*K, "block").sortWithinPartitions(*K, "block", "n")
+
+    def run(batches):
+        here, out, n = None, None, 0
+        store, root = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for *key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != here:
+                    if out is not None:
+                        out.close()
+                    here, n = key, n + 1
+                    folder = "/".join([root, *(folder_name(*kv) for kv in zip([*K, "block"], key, strict=True))])
+                    store.create_dir(folder, recursive=True)
+                    out = store.open_output_stream(f"{folder}/scenes.txt")
+                    out.write(f"Timecode List:\n{','.join(HEADER)}\n".encode())
+                out.write(f"{value}\n".encode())
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    files.select(*K, "block", "value").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
+def folder_name(key: str, value: int | None) -> str:
+    """A folder of a table partitioned by ``key``, as Spark names it."""
+    return f"{key}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}"
