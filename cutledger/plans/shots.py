@@ -346,5 +346,5 @@ def f02(spark, sf):
     ),
 )
 def i04(spark, sf):
-    shots = d.stored(d.shots(spark, sf))
+    shots = d.stored(d.shots(spark, sf).select(*K, "tcid", "start_frame", "end_frame", "len_frames", "fps"))
     return S.rethumb_manifest(S.split(shots, _points(shots))[1])
